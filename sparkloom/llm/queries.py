@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, packing
+from sparkloom.llm import decontam, packing, rules, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,28 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_encoder, capacity=1024, end_id=2, with_ids=False)
 
 
+#: Fixed rules of the URL query: host, path, verdict.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    table = spark.sql(f"SELECT * FROM VALUES {listed} AS t(host, path, verdict)")
+    return urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), table)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = rules.score(docs, rules.fit(docs, labels))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     out = decontam.scan(docs, bench, window=10)
@@ -40,5 +62,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+def _url_sql() -> str:
+    listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""WITH r(rh, rp, rv) AS (VALUES {listed}),
+p AS (SELECT row_number() OVER () AS rid, page_id,
+ translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+ coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+m AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC NULLS LAST, length(rh) DESC) AS best
+ FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rh || rp AS rule, coalesce(rv, 'allow') AS verdict FROM m WHERE best = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": _url_sql()}
