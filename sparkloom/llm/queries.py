@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, packing, rules, urls
+from sparkloom.llm import decontam, packing, quality, rules, urls
+from sparkloom.llm.common import fold
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_encoder, capacity=1024, end_id=2, with_ids=False)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = quality.score(docs, quality.fit(docs, labels))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 #: Fixed rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("com", "/en/", "block"),
