@@ -60,3 +60,46 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(doc_key(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k long, id long, text string) with a unique, never-NULL k that orders like (id, text), NULL id first.
+
+    k is the id itself where ids are unique and not NULL.  Otherwise rows are
+    sorted into a scratch table and numbered, so repeated rows become separate
+    documents that follow one another.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if not rows.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").limit(1).count():
+        return rows.select(F.coalesce("id", F.lit(NULL_KEY).cast("long")).alias("k"), "id", "text")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "text").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    return materialize(ordered.select(F.monotonically_increasing_id().alias("k"), "id", "text"), "keyed")
+
+
+class Places:
+    """(k, position) pairs as one sortable column: a long where the ranges fit, else a struct."""
+
+    def __init__(self, base: DataFrame):
+        low, high, size = base.agg(F.min("k"), F.max("k"), F.max(F.octet_length("text"))).first()
+        self.low, self.bits = low or 0, max(1, int(size or 0).bit_length())
+        self.packed = ((high or 0) - self.low).bit_length() + self.bits <= 62
+
+    def code(self, k: str, at: str) -> Column:
+        if self.packed:
+            return F.shiftleft(F.col(k) - F.lit(self.low), self.bits).bitwiseOR(F.col(at).cast("long"))
+        return F.struct(F.col(k).alias("k"), F.col(at).cast("long").alias("at"))
+
+    def k(self, code: str) -> Column:
+        return F.shiftright(code, self.bits) + F.lit(self.low) if self.packed else F.col(f"{code}.k")
+
+    def at(self, code: str) -> Column:
+        at = F.col(code).bitwiseAND(F.lit((1 << self.bits) - 1)) if self.packed else F.col(f"{code}.at")
+        return at.cast("int")
+
+
+def exact_copies(base: DataFrame) -> DataFrame:
+    """(k, first, copies) of every document whose whole text occurs more than once; first is the smallest k."""
+    digests = base.select("k", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    groups = digests.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return digests.join(groups, "digest").select("k", "first", "copies")
