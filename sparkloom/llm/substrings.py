@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Places, exact_copies, keyed, materialize, scratch_dir
+from sparkloom.llm.common import Places, exact_copies, id_of, keyed, materialize, scratch_dir
 from sparkloom.llm.textops import BASES, Words, anchors, batches, grams, mix, signed
 
 WINDOW, GRAM = 20, 8
@@ -182,13 +182,14 @@ class FingerprintIndex:
         if history is not None or self.keep_texts:
             meta = materialize(meta, "nominees")
         places = Places(base)
-        nominated = base.select("k", "text").join(meta, "k").filter("copy IS NULL AND fps IS NOT NULL")
+        nominated = base.join(meta, "k").filter("copy IS NULL AND fps IS NOT NULL")
         windows = window_hashes(nominated, self.window, self.gram).withColumn("new", places.code("k", "at"))
         firsts = windows.groupBy("h1", "h2").agg(F.min("new").alias("new"))
         if history is not None:
             firsts = firsts.join(self._history_windows(meta, old), ["h1", "h2"], "left_anti")
         firsts = firsts.select(places.k("new").alias("k"), places.at("new").alias("at")).groupBy("k").agg(F.collect_list("at").alias("firsts"))
-        out = self._remove(base.join(meta, "k", "left").join(firsts, "k", "left"), id_col, with_text)
+        rows = base.join(meta, "k", "left").join(firsts, "k", "left").select(id_of(base).alias("id"), "text", "fps", "copy", "firsts")
+        out = self._remove(rows, id_col, with_text)
         if self.keep_texts:
             out = materialize(out, "substring-removals")
             base.select("k", "text").write.mode("overwrite").parquet(f"{self.path}/texts-{seq}")
@@ -235,7 +236,7 @@ class FingerprintIndex:
                     yield _removed_rows(texts, ids.slice(lo, hi - lo), fps[lo:hi], copy[lo:hi], firsts[lo:hi], window, gram, with_text)
 
         schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-        return rows.select("id", "text", "fps", "copy", "firsts").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def _removed_rows(texts, ids, fps, copy, firsts, window: int, gram: int, with_text: bool) -> pa.RecordBatch:
