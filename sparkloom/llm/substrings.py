@@ -68,7 +68,7 @@ def _nominated(s: Selected, shared: list) -> np.ndarray:
 
 
 def fingerprints(base: DataFrame, window: int, gram: int) -> DataFrame:
-    """(fp, k): the selected fingerprints of every document."""
+    """(fp, k, n): the selected fingerprints of every document and how many places select each."""
 
     def run(it):
         for batch in it:
@@ -76,9 +76,14 @@ def fingerprints(base: DataFrame, window: int, gram: int) -> DataFrame:
             for lo, _, texts in batches(batch, "text"):
                 s = Selected(texts, window, gram)
                 one = s.distinct()
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.gram[s.anchor[one]])), pa.array(k[lo + s.owner[one]])], names=["fp", "k"])
+                fp, owner = signed(s.gram[s.anchor[one]]), s.owner[one]
+                order = np.lexsort((fp, owner))
+                fp, owner = fp[order], owner[order]
+                cut = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])))) if len(fp) else order
+                n = np.diff(np.append(cut, len(fp)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[cut]), pa.array(k[lo + owner[cut]]), pa.array(n.astype(np.int32))], names=["fp", "k", "n"])
 
-    return base.select("k", "text").mapInArrow(run, "fp long, k long")
+    return base.select("k", "text").mapInArrow(run, "fp long, k long, n int")
 
 
 def _numpy_lists(column: pa.Array) -> list:
@@ -113,7 +118,7 @@ def window_hashes(nominated: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted runs of (fp, k) below ``path``, each covering batches lo to hi.
+    """Sorted runs of (fp, k, n) below ``path``, each covering batches lo to hi.
 
     With ``keep_texts`` the batches' texts are stored beside them, so that
     later batches can be verified against them.
@@ -144,7 +149,7 @@ class FingerprintIndex:
         name = "loom_" + hashlib.md5(f"{self.path}{run}".encode()).hexdigest()
         where = f"{self.path}/run-{run[0]}-{run[1]}-{run[2]}"
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, k BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {run[2]} BUCKETS LOCATION '{where}'"
+            f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, k BIGINT, n INT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {run[2]} BUCKETS LOCATION '{where}'"
         )
         return self.spark.table(name)
 
@@ -172,7 +177,7 @@ class FingerprintIndex:
         for r in old:
             history = self._table(r) if history is None else history.unionByName(self._table(r))
         # a fingerprint is shared if this batch holds it twice, or once beside history
-        counts = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+        counts = own.groupBy("fp").agg(F.sum("n").alias("n"))
         shared = counts.filter("n > 1").select("fp")
         if history is not None:
             shared = shared.unionByName(counts.select("fp").join(history.select("fp"), "fp", "left_semi")).distinct()
