@@ -31,6 +31,17 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``materialize``, with one sorted file for each hash bucket of ``key``:
+    aggregations and joins on it need no further shuffle."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"loom_{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(n, key).sortWithinPartitions(key)
+    rows.write.bucketBy(n, key).sortBy(key).option("path", f"{scratch_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_scratch(*tables: DataFrame) -> None:
     """Delete tables written by ``materialize`` that nothing reads any more."""
     for t in tables:

@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Places, exact_copies, id_of, keyed, materialize
+from sparkloom.llm.common import Places, bucketed, exact_copies, id_of, keyed, materialize
 from sparkloom.llm.textops import CODES, anchors, batches, grams, signed
 
 DEPTH, GRAM = 200, 40
-LEVELS = (8, 16, 32, 64, 128)
+CHUNK = 1 << 20  # bytes of text hashed at once
 
 
 # -- suffix arrays ---------------------------------------------------------
@@ -178,7 +178,7 @@ def _anchor_rows(base: DataFrame, depth: int, gram: int) -> DataFrame:
     def run(it):
         for batch in it:
             k = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, texts in batches(batch, "text"):
+            for lo, _, texts in batches(batch, "text", CHUNK):
                 s = Strings(texts, depth, gram)
                 order = np.lexsort((s.seg_hash, s.seg_owner))
                 h, owner = s.seg_hash[order], s.seg_owner[order]
@@ -195,7 +195,7 @@ def _segments(nominated: DataFrame, depth: int, gram: int) -> DataFrame:
     def run(it):
         for batch in it:
             k, lists = batch.column(0).to_numpy(zero_copy_only=False), _lists(batch.column(2))
-            for lo, hi, texts in batches(batch, "text"):
+            for lo, hi, texts in batches(batch, "text", CHUNK):
                 s = Strings(texts, depth, gram)
                 pick = s.shared(lists[lo:hi])
                 at, n, owner = s.seg_at[pick], s.seg_n[pick], s.seg_owner[pick]
@@ -278,18 +278,18 @@ def _counted(hot: DataFrame, places: Places, depth: int, keep: str) -> DataFrame
 
 def deduplicate(
     docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, keep: str = "first", id_col: str = "doc_id", text_col: str = "text",
-    max_group: int = 512, part_bytes: int = 1 << 20, with_text: bool = True,
+    max_group: int = 8192, part_bytes: int = 1 << 20, with_text: bool = True,
 ) -> DataFrame:
     """Removals: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the
     removed byte spans (end excluded) and the remaining bytes as text."""
     if keep not in ("first", "none") or depth < max(16, gram):
         raise ValueError("keep is 'first' or 'none'; depth is at least 16 and the gram")
     base = keyed(docs, id_col, text_col)
-    rows = _anchor_rows(base, depth, gram)
+    rows = bucketed(_anchor_rows(base, depth, gram), "h", "anchors")
     shared = rows.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     lists = rows.join(shared, "h", "left_semi").groupBy("k").agg(F.collect_list("h").alias("hs"))
     copies = exact_copies(base).select("k", (F.col("first") < F.col("k")).alias("later"))
-    meta = materialize(lists.join(copies, "k", "full_outer"), "anchors")
+    meta = materialize(lists.join(copies, "k", "full_outer"), "nominees")
     places = Places(base)
     nominated = base.join(meta, "k").filter("hs IS NOT NULL AND NOT coalesce(later, false)")
     segs = _segments(nominated, depth, gram).withColumn("new", places.code("k", "at"))
@@ -309,7 +309,7 @@ def deduplicate(
         for batch in it:
             hs, los, his = _lists(batch.column(2)), _lists(batch.column(4)), _lists(batch.column(5))
             whole = batch.column(3).to_numpy(zero_copy_only=False)
-            for lo, hi, texts in batches(batch, "text"):
+            for lo, hi, texts in batches(batch, "text", CHUNK):
                 yield _removed(texts, batch.column(0).slice(lo, hi - lo), hs[lo:hi], whole[lo:hi], los[lo:hi], his[lo:hi], depth, gram, with_text)
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
