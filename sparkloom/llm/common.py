@@ -52,6 +52,24 @@ def drop_scratch(*tables: DataFrame) -> None:
             p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no DataFrame uses any more.
+
+    Spark deletes them when the driver's JVM finds their handles unreachable;
+    operators of several actions ask for that between phases, so their disk
+    need is that of a phase, not of their sum.
+    """
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 1 << 21) -> DataFrame:
+    """``df`` (a narrow table already written) marked for broadcast if it has at most ``max_rows`` rows."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def doc_key(column: str = "doc_id") -> Column:
     """A never-NULL long that orders like doc_id, NULL first."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY).cast("long"))

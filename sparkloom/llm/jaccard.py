@@ -11,10 +11,11 @@ group pairs are filtered by size and by what the two prefixes prove about the
 whole sets; surviving group pairs expand to members, whose whole sets are
 intersected exactly.
 
-Shingles that occur very often come last in the order, so that a common line
-or passage does not fill posting lists: a sketch of fixed size (``CELLS``
-counters) counts all shingles of all documents, and the order is (magnitude of
-the counter, hash).  The sketch only orders; it decides no pair.
+Shingles that are likely to recur come last in the order, so that prefixes
+hold what is particular to a document: two sketches of fixed size (``CELLS``
+counters) count all words and all shingles of all documents, and the order is
+(magnitude expected from the words or counted for the shingle, hash).  The
+sketches only order; they decide no pair.
 
 Only connection is asked for, so pairs come in two rounds.  The first takes
 neighbours in each posting list (at most two pairs a posting); the second
@@ -26,7 +27,8 @@ Defined cases: NULL, empty and blank texts have the empty set and link with
 nothing; texts of fewer than ``n`` words have their whole sequence as one
 shingle; equal texts, repeated rows, equal and NULL ids are separate rows with
 one component (its smallest id, NULL first); an empty table gives no rows;
-further columns are not read.  Shingles are compared by 64-bit hashes.
+further columns are not read.  Shingles are compared
+by 64-bit hashes (56 bits in prefixes, where a collision only adds a candidate).
 """
 
 from __future__ import annotations
@@ -36,31 +38,62 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import id_of, keyed, materialize
+from sparkloom.llm.common import bounded_broadcast, drop_scratch, keyed, materialize, release
 from sparkloom.llm.components import components
 from sparkloom.llm.textops import BASES, Words, batches, grams, mix, prefix, signed, spans
 
 CELLS = 1 << 20
+HASH_BITS = 56
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+class Order:
+    """The order of shingles: magnitude of the expected or counted occurrences, then hash.
+
+    A shingle's magnitude is the larger of what its words' frequencies predict
+    (their product) and what the shingle sketch counts above its ordinary
+    level.  All arithmetic is on integers, so equal shingles always agree.
+    """
+
+    def __init__(self, words: np.ndarray, shingles: np.ndarray):
+        total = max(1, int(words.sum()))
+        #: eighths of a binary logarithm of each word counter's share
+        self.word = np.round(8 * np.log2((words + 1) / (total + CELLS))).astype(np.int32)
+        self.base = int(np.ceil(8 * np.log2(total + CELLS)))
+        over = shingles // (16 + 4 * int(shingles.mean()))
+        self.shingle = np.where(over > 0, np.floor(np.log2(np.maximum(over, 1))) + 7, 0).astype(np.int32)
+
+    def codes(self, word_hash: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """Codes that sort in this order: seven bits of magnitude above 56 bits of hash."""
+        w = self.word[(word_hash & np.uint64(CELLS - 1)).astype(np.int64)]
+        m = len(gram)
+        expected = np.full(m, self.base, dtype=np.int32)
+        for i in range(n):
+            expected += w[i : i + m]
+        level = np.maximum((expected + 56) // 8, 0)  # 0: fewer than 1/128 expected by chance
+        level = np.maximum(level, self.shingle[(gram & np.uint64(CELLS - 1)).astype(np.int64)])
+        return (np.minimum(level, 127).astype(np.uint64) << np.uint64(HASH_BITS)) | (gram >> np.uint64(64 - HASH_BITS))
+
+
+def shingle_sets(texts: list[bytes], n: int, order: Order | None = None) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted: as codes in ``order``, else as hashes."""
     w = Words(texts, lower=True)
     g = grams(w.hash, n)
+    if order is not None:
+        g = order.codes(w.hash, g, n)
     pre = prefix(w.hash, BASES[1])
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if b - a >= n:
             out.append(np.unique(g[a : b - n + 1]))
         elif b > a:
-            out.append(spans(pre, np.array([a]), np.array([b]), BASES[1]))
+            out.append(spans(pre, np.array([a]), np.array([b]), BASES[1]) >> np.uint64(64 - HASH_BITS))
         else:
             out.append(g[:0])
     return out
 
 
-def shingle_sketch(base: DataFrame, n: int) -> np.ndarray:
-    """Occurrences of all shingles by the low bits of their hash: ``CELLS`` counters.
+def sketches(base: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of all words and of all shingles by the low bits of their hash: ``CELLS`` counters each.
 
     Partial counters are added up in two steps; the driver reads a bounded
     number of them, one at a time.
@@ -70,35 +103,29 @@ def shingle_sketch(base: DataFrame, n: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["cells"])
 
     def unpack(raw: bytes) -> np.ndarray:
-        return np.frombuffer(pa.decompress(raw, CELLS * 8, "zstd", asbytes=True), dtype=np.int64)
+        return np.frombuffer(pa.decompress(raw, CELLS * 16, "zstd", asbytes=True), dtype=np.int64).reshape(2, CELLS)
 
     def count(it):
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros((2, CELLS), dtype=np.int64)
         for batch in it:
             for _, _, texts in batches(batch, "text", 1 << 20):
-                g = grams(Words(texts, lower=True).hash, n)
-                total += np.bincount((g & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                w = Words(texts, lower=True).hash
+                for i, x in enumerate((w, grams(w, n))):
+                    total[i] += np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         yield pack(total)
 
     def add(it):
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros((2, CELLS), dtype=np.int64)
         for batch in it:
             for raw in batch.column(0).to_pylist():
                 total += unpack(raw)
         yield pack(total)
 
     parts = base.select("text").mapInArrow(count, "cells binary")
-    total = np.zeros(CELLS, dtype=np.int64)
+    total = np.zeros((2, CELLS), dtype=np.int64)
     for row in parts.repartition(16).mapInArrow(add, "cells binary").toLocalIterator():
         total += unpack(bytes(row["cells"]))
-    return total
-
-
-def levels_of(cells: np.ndarray) -> np.ndarray:
-    """0 for ordinary counters, else the magnitude above the ordinary."""
-    ordinary = 16 + 4 * int(cells.mean())
-    over = cells // ordinary
-    return np.where(over > 0, np.floor(np.log2(np.maximum(over, 1))) + 1, 0).astype(np.uint8)
+    return total[0], total[1]
 
 
 def _digest(x: np.ndarray) -> tuple[int, int]:
@@ -108,24 +135,19 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _prefixes(base: DataFrame, levels, n: int, percent: int) -> DataFrame:
+def _prefixes(base: DataFrame, order, n: int, percent: int) -> DataFrame:
     """(k, n, s1, s2, p1, p2, last, prefix, codes): size, digests of the set and of its
-    prefix, the place of the prefix's end in the order, the prefix, and 16 bits of each of its shingles."""
+    prefix, the prefix's last shingle, the prefix, and 16 bits of each of its shingles."""
 
     def run(it):
-        level = levels.value
         for batch in it:
             k = batch.column(0)
             for lo, hi, texts in batches(batch, "text", 1 << 20):
                 sizes, sets, heads, lasts, prefixes = [], [], [], [], []
-                for u in shingle_sets(texts, n):
+                for u in shingle_sets(texts, n, order.value):
                     size = len(u)
                     p = size - -(-size * percent // 100) + 1 if size else 0
-                    own = level[(u & np.uint64(CELLS - 1)).astype(np.int64)]
-                    if own[:p].any():
-                        order = np.argsort(own, kind="stable")
-                        u, own = u[order], own[order]
-                    lasts.append((int(own[p - 1]) << 55 | int(u[p - 1]) >> 9) if p else 0)
+                    lasts.append(int(u[p - 1]) if p else 0)
                     sizes.append(size)
                     sets.append(_digest(u))
                     heads.append(_digest(u[:p]))
@@ -182,8 +204,9 @@ class _Verifier:
 
     def links(self, possible: DataFrame) -> DataFrame:
         """(a, b) of the pairs whose whole sets link."""
-        wanted = possible.select(F.col("a").alias("k")).unionByName(possible.select(F.col("b").alias("k"))).distinct()
-        sets = materialize(_whole_sets(self.base, wanted, self.n), "sets", compression="none")
+        ends = possible.select(F.col("a").alias("k")).unionByName(possible.select(F.col("b").alias("k")))
+        wanted = materialize(ends.distinct(), "wanted")
+        sets = materialize(_whole_sets(self.base, bounded_broadcast(wanted), self.n), "sets", compression="none")
         rows = possible.join(sets.withColumnsRenamed({"k": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"k": "b", "set": "sb"}), "b")
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         return rows.withColumn("both", both).filter(100 * F.col("both") >= self.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
@@ -196,8 +219,8 @@ def _ordered(a: str, b: str) -> list[Column]:
 def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every document."""
     base = keyed(docs, id_col, text_col)
-    levels = docs.sparkSession.sparkContext.broadcast(levels_of(shingle_sketch(base, n)))  # CELLS bytes
-    rows = materialize(_prefixes(base, levels, n, percent), "prefixes", compression="none")
+    order = docs.sparkSession.sparkContext.broadcast(Order(*sketches(base, n)))  # two integers a cell
+    rows = materialize(_prefixes(base, order, n, percent), "prefixes", compression="none")
     full = rows.filter("n > 0")
     classes = full.groupBy("n", "s1", "s2").agg(F.min("k").alias("m"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
@@ -207,9 +230,13 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     by = Window.partitionBy("tok").orderBy("n", "g")
     so_far = by.rowsBetween(Window.unboundedPreceding, -1)
     postings = postings.select(
-        "tok", "g", "n", F.lag("g").over(by).alias("prev"), F.lead("g").over(by).alias("next"), F.min("g").over(so_far).alias("head")
-    ).filter("prev IS NOT NULL OR next IS NOT NULL")
-    postings = materialize(postings.drop("next"), "postings")
+        "tok", "g", "n", F.lag("g").over(by).alias("prev"), F.lead("g").over(by).alias("next"), F.min("g").over(so_far).alias("head"),
+        F.coalesce(F.lag("g", 2).over(by), F.lead("g", 2).over(by)).isNotNull().alias("end_of_long"),
+    ).filter("prev IS NOT NULL OR next IS NOT NULL")
+    # a list of two is settled by its one pair of neighbours; only longer ones have others
+    long_list = F.col("end_of_long") | (F.col("prev").isNotNull() & F.col("next").isNotNull())
+    postings = materialize(postings.select("tok", "g", "n", "prev", "head", long_list.alias("long_list")), "postings")
+    release(docs.sparkSession)
     # members of groups that hold more than one class
     members = classes.join(groups.filter("members > 1"), ["n", "p1", "p2"]).select("m", "g", "n", "p1", "p2")
     inner = Window.partitionBy("n", "p1", "p2").orderBy("m")
@@ -221,9 +248,10 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     tried = materialize(near.filter("a <> b").distinct(), "pairs")
     links = materialize(check.links(materialize(check.possible(tried), "possible")), "links")
     labels = components(links)
+    release(docs.sparkSession)
 
     # second round: pairs of one list whose members are not connected yet
-    lists = postings.select("tok", "g", "n").join(members.select("g", "m"), "g", "left").select("tok", "n", F.coalesce("m", "g").alias("m"))
+    lists = postings.filter("long_list").select("tok", "g", "n").join(members.select("g", "m"), "g", "left").select("tok", "n", F.coalesce("m", "g").alias("m"))
     lists = lists.unionByName(members.select(F.xxhash64("n", "p1", "p2").alias("tok"), "n", "m"))
     lists = lists.join(labels.withColumnsRenamed({"node": "m"}), "m", "left").select("tok", "n", "m", F.coalesce("label", "m").alias("c"))
     per = lists.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("here"))
@@ -234,6 +262,8 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     cross = few.join(other, (few["tok"] == other["tok"]) & (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("m1") < F.col("m2"))) & _near_sizes("n1", "n2", percent))
     cross = cross.select(*_ordered("m1", "m2")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(check.possible(cross), "possible")
+    drop_scratch(lists, postings)
+    release(docs.sparkSession)
     if more.limit(1).count():
         found = materialize(check.links(more), "links")
         if found.limit(1).count():
