@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, jaccard, packing, quality, rules, substrings, suffix, urls
+from sparkloom.llm import brown, decontam, jaccard, packing, quality, rules, substrings, suffix, urls
 from sparkloom.llm.common import fold
 
 
@@ -75,6 +75,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = brown.score(docs, fold("doc_id", 7) != 2)
+    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.deduplicate(docs, depth=200, keep="none", with_text=False)
