@@ -181,6 +181,16 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _can_link(n1: str, pos1: str, n2: str, pos2: str, percent: int) -> Column:
+    """Whether sets of these sizes can link if a shingle at these places is the first they share.
+
+    What comes before it in either order is in one set only.  A pair is lost
+    to no test: it passes at the first shingle that it really shares.
+    """
+    rest = F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2))
+    return _near_sizes(n1, n2, percent) & (rest * (100 + percent) >= percent * (F.col(n1) + F.col(n2)))
+
+
 class _Verifier:
     """Decides member pairs (a, b): first by prefixes, then by whole sets."""
 
@@ -225,17 +235,19 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     classes = full.groupBy("n", "s1", "s2").agg(F.min("k").alias("m"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("m").alias("g"), F.count(F.lit(1)).alias("members"))
-    heads = full.select(F.col("k").alias("g"), "prefix").join(groups.select("g", "n"), "g")
-    postings = heads.select("g", "n", F.explode("prefix").alias("tok"))
+    heads = full.select(F.col("k").alias("g"), "prefix").join(groups.select("g", "n", (F.col("members") > 1).alias("many")), "g")
+    postings = heads.select("g", "n", "many", F.posexplode("prefix").alias("pos", "tok"))
     by = Window.partitionBy("tok").orderBy("n", "g")
     so_far = by.rowsBetween(Window.unboundedPreceding, -1)
     postings = postings.select(
-        "tok", "g", "n", F.lag("g").over(by).alias("prev"), F.lead("g").over(by).alias("next"), F.min("g").over(so_far).alias("head"),
-        F.coalesce(F.lag("g", 2).over(by), F.lead("g", 2).over(by)).isNotNull().alias("end_of_long"),
+        "tok", "g", "n", "pos", F.lag(F.struct("g", "n", "pos")).over(by).alias("prev"), F.lead("g").over(by).alias("next"),
+        F.min(F.struct("g", "n", "pos")).over(so_far).alias("head"), F.coalesce(F.lag("g", 2).over(by), F.lead("g", 2).over(by)).isNotNull().alias("end_of_long"),
+        (F.col("many") | F.coalesce(F.lag("many").over(by), F.lit(False)) | F.coalesce(F.lead("many").over(by), F.lit(False))).alias("many"),
     ).filter("prev IS NOT NULL OR next IS NOT NULL")
-    # a list of two is settled by its one pair of neighbours; only longer ones have others
-    long_list = F.col("end_of_long") | (F.col("prev").isNotNull() & F.col("next").isNotNull())
-    postings = materialize(postings.select("tok", "g", "n", "prev", "head", long_list.alias("long_list")), "postings")
+    # a list of two classes is settled by its one pair of neighbours; only others have more pairs
+    long_list = F.col("end_of_long") | F.col("many") | (F.col("prev").isNotNull() & F.col("next").isNotNull())
+    sides = [F.when(_can_link(f"{x}.n", f"{x}.pos", "n", "pos", percent), F.col(f"{x}.g")).alias(x) for x in ("prev", "head")]
+    postings = materialize(postings.select("tok", "g", "n", "pos", *sides, long_list.alias("long_list")), "postings")
     release(docs.sparkSession)
     # members of groups that hold more than one class
     members = classes.join(groups.filter("members > 1"), ["n", "p1", "p2"]).select("m", "g", "n", "p1", "p2")
@@ -243,7 +255,7 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     chains = members.select("m", "g", F.lag("m").over(inner).alias("prev")).filter("prev IS NOT NULL")
 
     check = _Verifier(base, rows, n, percent)
-    near = postings.select(*_ordered("prev", "g")).unionByName(postings.select(*_ordered("head", "g")))
+    near = postings.filter("prev IS NOT NULL").select(*_ordered("prev", "g")).unionByName(postings.filter("head IS NOT NULL").select(*_ordered("head", "g")))
     near = near.unionByName(chains.select(*_ordered("prev", "m"))).unionByName(chains.select(*_ordered("g", "m")))
     tried = materialize(near.filter("a <> b").distinct(), "pairs")
     links = materialize(check.links(materialize(check.possible(tried), "possible")), "links")
@@ -251,15 +263,15 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     release(docs.sparkSession)
 
     # second round: pairs of one list whose members are not connected yet
-    lists = postings.filter("long_list").select("tok", "g", "n").join(members.select("g", "m"), "g", "left").select("tok", "n", F.coalesce("m", "g").alias("m"))
-    lists = lists.unionByName(members.select(F.xxhash64("n", "p1", "p2").alias("tok"), "n", "m"))
-    lists = lists.join(labels.withColumnsRenamed({"node": "m"}), "m", "left").select("tok", "n", "m", F.coalesce("label", "m").alias("c"))
+    lists = postings.filter("long_list").select("tok", "g", "n", "pos").join(members.select("g", "m"), "g", "left").select("tok", "n", "pos", F.coalesce("m", "g").alias("m"))
+    lists = lists.unionByName(members.select(F.xxhash64("n", "p1", "p2").alias("tok"), "n", F.lit(0).alias("pos"), "m"))
+    lists = lists.join(labels.withColumnsRenamed({"node": "m"}), "m", "left").select("tok", "n", "pos", "m", F.coalesce("label", "m").alias("c"))
     per = lists.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("here"))
     main = per.groupBy("tok").agg(F.max_by("c", F.struct("here", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     lists = materialize(lists.join(main.select("tok", "main"), "tok"), "lists")
-    few = lists.filter("c <> main").select("tok", F.col("m").alias("m1"), F.col("n").alias("n1"), F.col("c").alias("c1"))
-    other = lists.select("tok", F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("c").alias("c2"), (F.col("c") == F.col("main")).alias("in_main"))
-    cross = few.join(other, (few["tok"] == other["tok"]) & (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("m1") < F.col("m2"))) & _near_sizes("n1", "n2", percent))
+    few = lists.filter("c <> main").select("tok", F.col("m").alias("m1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("c").alias("c1"))
+    other = lists.select("tok", F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), (F.col("c") == F.col("main")).alias("in_main"))
+    cross = few.join(other, (few["tok"] == other["tok"]) & (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("m1") < F.col("m2"))) & _can_link("n1", "pos1", "n2", "pos2", percent))
     cross = cross.select(*_ordered("m1", "m2")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(check.possible(cross), "possible")
     drop_scratch(lists, postings)
