@@ -91,19 +91,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
     """(k long, text string) with a unique, never-NULL k that orders like (id, text), NULL id first.
 
     k is the id itself where ids are unique and not NULL.  Otherwise rows are
     sorted into a scratch table and numbered, so repeated rows become separate
     documents that follow one another, and a column ``id`` is kept beside k.
+    A column named ``extra`` is carried along.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    more = [extra] if extra else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
     if not rows.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").limit(1).count():
-        return rows.select(F.coalesce("id", F.lit(NULL_KEY).cast("long")).alias("k"), "text")
+        return rows.select(F.coalesce("id", F.lit(NULL_KEY).cast("long")).alias("k"), "text", *more)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "text").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    return materialize(ordered.select(F.monotonically_increasing_id().alias("k"), "id", "text"), "keyed")
+    return materialize(ordered.select(F.monotonically_increasing_id().alias("k"), "id", "text", *more), "keyed")
 
 
 def id_of(base: DataFrame) -> Column:

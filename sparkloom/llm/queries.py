@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import brown, decontam, jaccard, packing, quality, rules, substrings, suffix, urls
+from sparkloom.llm import brown, decontam, html, jaccard, packing, quality, rules, substrings, suffix, urls
 from sparkloom.llm.common import fold
 
 
@@ -75,6 +75,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = brown.score(docs, fold("doc_id", 7) != 2)

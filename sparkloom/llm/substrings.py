@@ -163,13 +163,14 @@ class FingerprintIndex:
         return run
 
     # -- operations --------------------------------------------------------
-    def add(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    def add(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, extra: str | None = None) -> DataFrame:
         """Removals in a new batch: id, n_words, n_removed, kept_sha256 (kept words
         joined by one space) and, if asked for, the text with the removed words cut out.
+        A column named ``extra`` is carried through.
 
         Earlier batches precede this one; within it (id, text) decides.
         """
-        base = keyed(docs, id_col, text_col)
+        base = keyed(docs, id_col, text_col, extra)
         old = self.runs()
         seq = max([r[1] for r in old], default=-1) + 1
         own = self._table(self._write_run(fingerprints(base, self.window, self.gram), seq, seq))
@@ -193,8 +194,8 @@ class FingerprintIndex:
         if history is not None:
             firsts = firsts.join(self._history_windows(meta, old), ["h1", "h2"], "left_anti")
         firsts = firsts.select(places.k("new").alias("k"), places.at("new").alias("at")).groupBy("k").agg(F.collect_list("at").alias("firsts"))
-        rows = base.join(meta, "k", "left").join(firsts, "k", "left").select(id_of(base).alias("id"), "text", "fps", "copy", "firsts")
-        out = self._remove(rows, id_col, with_text)
+        rows = base.join(meta, "k", "left").join(firsts, "k", "left").select(id_of(base).alias("id"), "text", "fps", "copy", "firsts", *([extra] if extra else []))
+        out = self._remove(rows, id_col, with_text, extra)
         if self.keep_texts:
             out = materialize(out, "substring-removals")
             base.select("k", "text").write.mode("overwrite").parquet(f"{self.path}/texts-{seq}")
@@ -228,7 +229,7 @@ class FingerprintIndex:
             for r in tail:  # covered by the new run from here on
                 fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p, f"run-{r[0]}-{r[1]}-{r[2]}"), True)
 
-    def _remove(self, rows: DataFrame, id_col: str, with_text: bool) -> DataFrame:
+    def _remove(self, rows: DataFrame, id_col: str, with_text: bool, extra: str | None = None) -> DataFrame:
         window, gram = self.window, self.gram
 
         def run(it):
@@ -238,9 +239,12 @@ class FingerprintIndex:
                 fps = _numpy_lists(fps.fill_null([])) if batch.num_rows else []
                 firsts = _numpy_lists(firsts.fill_null([])) if batch.num_rows else []
                 for lo, hi, texts in batches(batch, "text"):
-                    yield _removed_rows(texts, ids.slice(lo, hi - lo), fps[lo:hi], copy[lo:hi], firsts[lo:hi], window, gram, with_text)
+                    done = _removed_rows(texts, ids.slice(lo, hi - lo), fps[lo:hi], copy[lo:hi], firsts[lo:hi], window, gram, with_text)
+                    if extra:
+                        done = done.append_column(extra, batch.column(5).slice(lo, hi - lo))
+                    yield done
 
-        schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+        schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + (f", {extra} {rows.schema[extra].dataType.simpleString()}" if extra else "")
         return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -282,10 +286,37 @@ def _removed_rows(texts, ids, fps, copy, firsts, window: int, gram: int, with_te
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def deduplicate(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, extra: str | None = None) -> DataFrame:
     """One-shot form: all of ``docs`` as the first batch of a new index."""
     import uuid
 
     spark = docs.sparkSession
     index = FingerprintIndex(spark, f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}", window=window, gram=gram, keep_texts=False)
-    return index.add(docs, id_col=id_col, text_col=text_col, with_text=with_text)
+    return index.add(docs, id_col=id_col, text_col=text_col, with_text=with_text, extra=extra)
+
+
+def cut_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeated passages cut out of their texts; a row whose words all go is dropped.
+
+    The columns stay those of ``docs``; ``size_col``, where present, becomes
+    the length of the new text.  Where ids repeat, rows of one id share one
+    representative: the first of equal (id, text) rows keeps the text.
+    """
+    schema = docs.schema
+    others = [f.name for f in schema if f.name not in (id_col, text_col, size_col)]
+    held = docs.withColumn("_rest", F.struct(*[F.col(c) for c in others]) if others else F.lit(None).cast("string"))
+    # the rest of a row travels beside its text through the index
+    cut = deduplicate(held, window=window, gram=gram, id_col=id_col, text_col=text_col, extra="_rest")
+    cut = cut.filter("n_words = 0 OR n_removed < n_words")
+    out = []
+    for f in schema:
+        if f.name == id_col:
+            c = F.col(id_col)
+        elif f.name == text_col:
+            c = F.col("text")
+        elif f.name == size_col:
+            c = F.length("text")
+        else:
+            c = F.col("_rest")[f.name]
+        out.append(c.cast(f.dataType).alias(f.name))
+    return cut.select(*out)
