@@ -89,7 +89,7 @@ class Lookup:
         return out
 
 
-def _tally(texts_codes, emit, limit: int = 1 << 20):
+def _tally(texts_codes, emit, limit: int = 1 << 19):
     """Sum equal codes over chunks and emit (code, count) batches whenever many have gathered."""
     codes, counts, held = [], [], 0
 
@@ -124,6 +124,12 @@ def _coded(train: DataFrame, codes_of) -> DataFrame:
     return train.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a table of bounded size as arrays, read in Arrow batches."""
+    table = df.select(*names).toArrow()
+    return [table.column(x).to_numpy() for x in names]
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -229,9 +235,9 @@ def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n
             head_words, n_head = -1, -1
     cut = max(cut, 2)  # words seen once are rare
     low = words.filter(F.col("c") <= cut).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("c") == 1, 1)), F.lit(0)).alias("once")).first()
-    head = words.filter(F.col("c") >= cut).toPandas()  # at most head_words rows
-    head = head.sort_values(["c", "w"], ascending=[False, True])
-    hashes, counts = head["w"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    hashes, counts = (x.astype(np.int64) for x in _columns(words.filter(F.col("c") >= cut), "w", "c"))  # at most head_words rows
+    order = np.lexsort((hashes, -counts))
+    hashes, counts = hashes[order].view(np.uint64), counts[order]
     k, end = min(clustered, len(hashes)), n_classes
     start = np.arange(len(hashes)) % max(1, n_classes)
     start[hashes == END] = end
@@ -246,14 +252,15 @@ def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n
         return p * (k + 1) + r
 
     end_rank = int(np.flatnonzero(hashes == END)[0]) if (hashes[:k] == END).any() else k
-    pairs = _coded(train, pair_codes).toPandas()  # at most (clustered + 1) squared
+    code, c = _columns(_coded(train, pair_codes), "code", "c")  # at most (clustered + 1) squared
     bigrams = np.zeros((k + 1) * (k + 1))
-    bigrams[pairs["code"].to_numpy(np.int64)] = pairs["c"].to_numpy(float)
+    bigrams[code] = c
     top = np.append(start[:k], n_classes + 1)
     movable = np.append(start[:k] != end, False)
     top = exchange(bigrams.reshape(k + 1, k + 1), top, movable, n_classes + 2, free=n_classes)
     model.classes = start.copy()
     model.classes[:k] = top[:k]
+    shared.unpersist()
     release(spark)
 
     # the other head words: counts of their neighbours' classes, code = rank, side, class
@@ -289,9 +296,10 @@ def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n
 
     if k < len(hashes):
         rows = _coded(train, context_codes).repartition(F.expr(f"code div {2 * width}")).select("code", "c")
-        chosen = rows.mapInArrow(choose, "rank long, cls long").toPandas()  # at most head_words rows
-        model.classes[chosen["rank"].to_numpy(np.int64)] = chosen["cls"].to_numpy(np.int64)
+        rank, cls = _columns(rows.mapInArrow(choose, "rank long, cls long"), "rank", "cls")  # at most head_words rows
+        model.classes[rank] = cls
         model.classes[hashes == END] = end
+    shared.unpersist()
     release(spark)
 
     shared = sc.broadcast(model)
@@ -304,9 +312,10 @@ def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n
         p[first[:-1]] = end
         return p * width + c
 
-    moves = _coded(train, transition_codes).toPandas()  # at most (classes) squared
+    code, c = _columns(_coded(train, transition_codes), "code", "c")  # at most (classes) squared
     pairs = np.zeros(width * width)
-    pairs[moves["code"].to_numpy(np.int64)] = moves["c"].to_numpy(float)
+    pairs[code] = c
+    shared.unpersist()
     model.transition = np.log10(_smooth(pairs.reshape(width, width), alpha))
     total = np.bincount(model.classes, weights=counts, minlength=width) if len(counts) else np.zeros(width)
     model.emission = np.log10(counts / total[model.classes]) if len(counts) else np.zeros(0)
