@@ -293,12 +293,11 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of ``docs``, that of the smallest id, with all its columns.
+    """One row of each component of ``docs``, the first in (id, text) order, with all its columns.
 
-    Documents with an empty set are kept.  Rows of equal or NULL id keep one
-    representative each of what their own texts say: the first in (id, text)
-    order of a component stays.
+    Documents with an empty set are kept.
     """
-    found = near_components(docs, n=n, percent=percent, id_col=id_col, text_col=text_col)
-    stay = found.filter(F.col("component_id").eqNullSafe(F.col(id_col)) | (F.col("n_shingles") == 0)).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+    base = keyed(docs.withColumn("_row", F.struct(*docs.columns)), id_col, text_col, "_row")
+    found = near_components(base.select("k", "text"), n=n, percent=percent, id_col="k", text_col="text")
+    stay = found.filter("component_id = k OR n_shingles = 0").select("k")
+    return base.join(stay, "k", "left_semi").select("_row.*")
