@@ -6,6 +6,7 @@ DataFrame compositions, each next to the SQL that states the same result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from sparkloom import functions as S
 from sparkloom import operators as O
 from sparkloom.plans.engine import Engine
 from sparkloom.plans.tpch import TPCH
-from sparkloom.sources.tables import table
+from sparkloom.sources.tables import TABLES, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,7 +221,8 @@ BUILT: dict[str, tuple[Query, str]] = {
 
 
 def _sql_query(text: str) -> Query:
-    return lambda spark, d: Engine(spark).register_dir(d).sql(text)
+    names = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    return lambda spark, d: Engine(spark).register_dir(d, names).sql(text)
 
 
 def queries() -> dict[str, Query]:
