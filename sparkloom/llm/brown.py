@@ -158,7 +158,7 @@ def exchange(bigrams: np.ndarray, classes: np.ndarray, movable: np.ndarray, n_cl
             g[a, a] += self_pairs
             s[a] -= self_pairs
             p[a] -= self_pairs
-            row, col = g.sum(axis=1), g.sum(axis=0)
+            row, col = g.sum(axis=1) + p, g.sum(axis=0) + s  # the word's neighbours count wherever it goes
             by_row = _xlogx(g + s) - _xlogx(g)
             by_col = _xlogx(g + p[:, None]) - _xlogx(g)
             d = np.diagonal(g)
