@@ -137,5 +137,7 @@ class Places:
 def exact_copies(base: DataFrame) -> DataFrame:
     """(k, first, copies) of every document whose whole text occurs more than once; first is the smallest k."""
     digests = base.select("k", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    digests = materialize(digests, "digests")
     groups = digests.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return digests.join(groups, "digest").select("k", "first", "copies")
+    # written out, so that the join reads both sides plainly and AQE can split a digest of very many copies
+    return digests.join(materialize(groups, "copies"), "digest").select("k", "first", "copies")

@@ -81,7 +81,7 @@ def grams(codes: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
     return mix((pre[n:] - pre[:m]) * powers(base, len(pre))[1][:m])
 
 
-def batches(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes]]]:
+def batches(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, UTF-8 texts) in runs of about ``max_bytes``; NULL is empty."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
     values = col.to_pylist()
