@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import brown, decontam, html, jaccard, packing, quality, rules, substrings, suffix, urls
+from sparkloom.llm import brown, decontam, html, jaccard, oracles, packing, quality, rules, substrings, suffix, urls
 from sparkloom.llm.common import fold
 
 
@@ -106,4 +106,11 @@ SELECT page_id, host, path, rh || rp AS rule, coalesce(rv, 'allow') AS verdict F
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": _url_sql()}
+    """What SQL can state; learned, packed and rendered results are held against brute force in the tests."""
+    return {
+        "op3_url_filters": _url_sql(),
+        "op5_ngram_jaccard_join": oracles.jaccard_components(4, 85),
+        "op6_substring_dedup": oracles.substring_windows(20),
+        "op7_decontamination": oracles.contamination(10),
+        "op10_suffix_array_dedup": oracles.repeated_bytes(200),
+    }
