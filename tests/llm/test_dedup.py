@@ -61,6 +61,13 @@ def test_components_of_a_long_path(spark):
     assert {got[i] for i in range(301)} == {0} and got[1000] == 998
 
 
+def test_components_of_a_scrambled_path(spark):
+    """Ids without order along a chain settle in few rounds."""
+    ids = [int(x) for x in np.random.default_rng(3).permutation(600)]
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert {(r.node, r.label) for r in components(links, max_rounds=15).collect()} == {(i, 0) for i in ids}
+
+
 def brute_windows(rows, n):
     seen, out = set(), {}
     for d, t, *_ in rows:
