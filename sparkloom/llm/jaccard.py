@@ -44,6 +44,7 @@ from sparkloom.llm.textops import BASES, Words, batches, grams, mix, prefix, sig
 
 CELLS = 1 << 20
 HASH_BITS = 56
+CHUNK = 1 << 19  # bytes of text hashed at once
 
 
 class Order:
@@ -108,7 +109,7 @@ def sketches(base: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     def count(it):
         total = np.zeros((2, CELLS), dtype=np.int64)
         for batch in it:
-            for _, _, texts in batches(batch, "text", 1 << 20):
+            for _, _, texts in batches(batch, "text", CHUNK):
                 w = Words(texts, lower=True).hash
                 for i, x in enumerate((w, grams(w, n))):
                     total[i] += np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
@@ -142,7 +143,7 @@ def _prefixes(base: DataFrame, order, n: int, percent: int) -> DataFrame:
     def run(it):
         for batch in it:
             k = batch.column(0)
-            for lo, hi, texts in batches(batch, "text", 1 << 20):
+            for lo, hi, texts in batches(batch, "text", CHUNK):
                 sizes, sets, heads, lasts, prefixes = [], [], [], [], []
                 for u in shingle_sets(texts, n, order.value):
                     size = len(u)
@@ -167,7 +168,7 @@ def _whole_sets(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(it):
         for batch in it:
-            for lo, hi, texts in batches(batch, "text", 1 << 20):
+            for lo, hi, texts in batches(batch, "text", CHUNK):
                 sets = shingle_sets(texts, n)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32()), pa.array(signed(np.concatenate(sets)), pa.int64())

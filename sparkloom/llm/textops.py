@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 MAX = U(0xFFFFFFFFFFFFFFFF)
@@ -82,19 +83,24 @@ def grams(codes: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
 
 
 def batches(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first row, end row, UTF-8 texts) in runs of about ``max_bytes``; NULL is empty."""
+    """(first row, end row, UTF-8 texts) in runs of about ``max_bytes``; NULL is empty.
+
+    Only a run's texts are copied out of the batch at a time.
+    """
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
-    values = col.to_pylist()
     lo, size = 0, 0
-    for i, v in enumerate(values):
-        if v is None:
-            values[i] = v = b""
-        size += len(v) + 1
+    cuts = []
+    for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
+        size += n + 1
         if size >= max_bytes:
-            yield lo, i + 1, values[lo : i + 1]
-            lo, size = i + 1, 0
-    if lo < len(values):
-        yield lo, len(values), values[lo:]
+            cuts.append(i + 1)
+            size = 0
+    if not cuts or cuts[-1] < len(col):
+        cuts.append(len(col))
+    for hi in cuts:
+        if hi > lo:
+            yield lo, hi, [v or b"" for v in col.slice(lo, hi - lo).to_pylist()]
+        lo = hi
 
 
 class Words:
