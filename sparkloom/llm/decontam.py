@@ -133,6 +133,13 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
         yield block
 
 
+def _items(block) -> list[tuple[str, bytes]]:
+    """The items of a broadcast block, which the worker then lets go of."""
+    items = block.value
+    vars(block).pop("_value", None)
+    return items
+
+
 SCHEMA = "row_key long, n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<start: int, end: int>>"
 
 
@@ -148,9 +155,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str
     def matcher(i: int) -> Matcher:
         if len(blocks) == 1:
             if i not in kept:
-                kept[i] = Matcher(blocks[i].value, window)
+                kept[i] = Matcher(_items(blocks[i]), window)
             return kept[i]
-        return Matcher(blocks[i].value, window)
+        return Matcher(_items(blocks[i]), window)
 
     def run(it):
         for batch in it:
@@ -231,7 +238,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
                 if i not in kept:
                     if len(blocks) > 1:
                         kept.clear()
-                    kept[i] = Matcher(blocks[i].value, window)
+                    kept[i] = Matcher(_items(blocks[i]), window)
                 for lo, _, values in batches(named, "text", 1 << 22):
                     norm = [b" " + b" ".join(w) + b" " if (w := words_of(t)) else b"" for t in values]
                     starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in norm])))
