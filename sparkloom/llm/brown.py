@@ -5,18 +5,21 @@ with an end token after each text (which also stands before its first word).
 
 1. Word counts of all training texts, aggregated by word (a table that grows
    with the corpus).  Words counted at least as often as a cut-off chosen so
-   that at most ``head_words`` remain form the head, whose size is bounded;
-   all others share one rare class and are looked up by an exact join.
+   that at most ``head_words`` remain form the head, whose size is bounded and
+   which is looked up in memory (with the end token in any case).
 2. Bigram counts among the ``clustered`` most frequent words (a bounded
    matrix) feed exchange clustering: each word in turn moves to the class that
    raises the likelihood of the class bigrams most, until few words move.
-3. The other head words join the class that their neighbours' classes make
+3. Each other head word joins the class that its neighbours' classes make
    likeliest, from context counts over all training texts.
-4. Class-transition counts over all training texts, smoothed towards class
-   frequencies; emissions are relative frequencies.  The rare class holds
-   at least all words seen once; in it one unknown word has the share that
-   leaving each training token out in turn gives it.  So the model is a proper
-   distribution over the vocabulary and one unknown, like the base score's.
+4. The words seen at least twice outside the head, however many, get their
+   class from the neighbours in the same way; word, count and class are a table
+   that is joined wherever such a word stands, in training and in scoring.
+5. Class-transition counts over all training texts, smoothed towards class
+   frequencies; emissions are relative frequencies.  The rare class holds the
+   words seen once; in it one unknown word has the share that leaving each
+   training token out in turn gives it.  So the model is a proper distribution
+   over the vocabulary and one unknown, like the base score's.
 
 Defined cases: NULL and empty texts are the end token alone; rows with equal
 or NULL ids are scored a row at a time (a NULL id's fold is that of the empty
@@ -31,10 +34,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import id_of, keyed, materialize, release
+from sparkloom.llm.common import drop_scratch, id_of, keyed, materialize, release
 from sparkloom.llm.textops import Words, batches, signed
 
 END = np.uint64(0x5DEECE66D1234567)
@@ -185,7 +188,7 @@ def exchange(bigrams: np.ndarray, classes: np.ndarray, movable: np.ndarray, n_cl
 
 @dataclass
 class Model:
-    """Classes 0 .. C-1 are learned; C is the end token's, C + 1 that of rare and unknown words."""
+    """Classes 0 .. C-1 are learned; C is the end token's, C + 1 that of unknown words and those seen once."""
 
     lookup: Lookup
     counts: np.ndarray
@@ -195,8 +198,9 @@ class Model:
     n_train: int
     n_vocabulary: int
     transition: np.ndarray | None = None  # log10
+    total: np.ndarray | None = None  # training tokens of each class's words
     emission: np.ndarray | None = None  # log10 of each head word within its class
-    rare_share: float = 0.0  # log10 share of one count in the rare class
+    rare_share: float = 0.0  # log10 share of a word seen once in the rare class
     unknown_share: float = 0.0  # log10 share of the unknown word in the rare class
 
     @property
@@ -220,8 +224,32 @@ def _smooth(pairs: np.ndarray, alpha: float) -> np.ndarray:
     return (pairs + alpha * one) / (pairs.sum(axis=1, keepdims=True) + alpha)
 
 
-def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n_classes: int = 48, alpha: float = 20.0) -> tuple[Model, DataFrame]:
-    """(model, table of all training words (w, c)) of the texts in ``train`` (text)."""
+def best_classes(owner: np.ndarray, side: np.ndarray, near: np.ndarray, c: np.ndarray, own: np.ndarray, g: np.ndarray, free: int) -> np.ndarray:
+    """The class among the first ``free`` that raises the likelihood most, for each of len(own) words on its own.
+
+    A word's neighbours: ``c`` of class ``near`` before (side 0) or after it
+    (side 1), rows sorted by ``owner``.  g: class bigrams that hold the word in
+    its class ``own``.  Pairs of a word with itself count as pairs with its class.
+    """
+    gain = np.zeros((len(own), free))
+    for lo in range(0, len(owner), 1 << 13):
+        o, j, n = owner[lo : lo + (1 << 13)], near[lo : lo + (1 << 13)], c[lo : lo + (1 << 13), None].astype(float)
+        m = np.where(side[lo : lo + (1 << 13), None] == 0, g[j, :free], g.T[j, :free])
+        m = np.maximum(m - n * (own[o][:, None] == np.arange(free)), 0)
+        at = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+        gain[o[at]] += np.add.reduceat(_xlogx(m + n) - _xlogx(m), at, axis=0)
+    for x, total in ((1, g.sum(axis=1)), (0, g.sum(axis=0))):
+        n = np.bincount(owner, np.where(side == x, c, 0), len(own))[:, None]
+        m = np.maximum(total[:free] - n * (own[:, None] == np.arange(free)), 0)
+        gain -= _xlogx(m + n) - _xlogx(m)
+    best = gain.argmax(axis=1) if len(own) else own
+    stay = np.minimum(own, free - 1)
+    rows = np.arange(len(own))
+    return np.where((own < free) & (gain[rows, best] <= gain[rows, stay] + 1e-9), own, best)
+
+
+def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n_classes: int = 48, alpha: float = 20.0, rounds: int = 1) -> tuple[Model, DataFrame]:
+    """(model, table (w, c, cls) of the training words outside its lookup) of the texts in ``train`` (text)."""
     spark = train.sparkSession
     sc = spark.sparkContext
     words = materialize(_coded(train, lambda tokens, first: signed(tokens)).withColumnRenamed("code", "w"), "words")
@@ -234,11 +262,12 @@ def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n
         elif n_head >= 0:
             head_words, n_head = -1, -1
     cut = max(cut, 2)  # words seen once are rare
-    low = words.filter(F.col("c") <= cut).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("c") == 1, 1)), F.lit(0)).alias("once")).first()
-    hashes, counts = (x.astype(np.int64) for x in _columns(words.filter(F.col("c") >= cut), "w", "c"))  # at most head_words rows
+    ends = F.col("w") == F.lit(int(END.astype(np.int64)))
+    low = words.filter((F.col("c") <= 2) & ~ends).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("c") == 1, 1)), F.lit(0)).alias("once")).first()
+    hashes, counts = (x.astype(np.int64) for x in _columns(words.filter((F.col("c") >= cut) | ends), "w", "c"))  # at most head_words rows and the end token
     order = np.lexsort((hashes, -counts))
     hashes, counts = hashes[order].view(np.uint64), counts[order]
-    k, end = min(clustered, len(hashes)), n_classes
+    k, end, rare, width = min(clustered, len(hashes)), n_classes, n_classes + 1, n_classes + 2
     start = np.arange(len(hashes)) % max(1, n_classes)
     start[hashes == END] = end
     model = Model(Lookup(hashes), counts, start, n_classes, cut, n_train, n_vocabulary)
@@ -255,31 +284,37 @@ def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n
     code, c = _columns(_coded(train, pair_codes), "code", "c")  # at most (clustered + 1) squared
     bigrams = np.zeros((k + 1) * (k + 1))
     bigrams[code] = c
-    top = np.append(start[:k], n_classes + 1)
+    top = np.append(start[:k], rare)
     movable = np.append(start[:k] != end, False)
-    top = exchange(bigrams.reshape(k + 1, k + 1), top, movable, n_classes + 2, free=n_classes)
-    model.classes = start.copy()
+    top = exchange(bigrams.reshape(k + 1, k + 1), top, movable, width, free=n_classes)
+    model.classes = np.full(len(hashes), rare)  # until their first round
     model.classes[:k] = top[:k]
+    model.classes[hashes == END] = end
     shared.unpersist()
     release(spark)
 
-    # the other head words: counts of their neighbours' classes, code = rank, side, class
-    width = n_classes + 2
-    member = np.zeros((k + 1, width))
-    member[np.arange(k + 1), top] = 1
-    trans = np.log(_smooth(member.T @ bigrams.reshape(k + 1, k + 1) @ member, alpha))
-    shared = sc.broadcast(model)
-
+    # rounds over all head words: counts of all their neighbours' classes, code = rank, side, class;
+    # the rank after the last one stands for all words outside the lookup
     def context_codes(tokens, first):
         m = shared.value
         r = m.lookup.ranks(tokens).astype(np.int64)
-        known = (r >= 0) & (r < k)
-        c = np.where(known, m.classes[np.where(known, r, 0)], -1) if len(m.classes) else np.full(len(r), -1)
-        here = r >= k
-        p, n = _previous(c, end), np.append(c[1:], -1)
+        c = m.class_of(r).astype(np.int64)
+        c[tokens == END] = end
+        r = np.where(r >= 0, r, len(m.counts))
+        p, n = _previous(c, end), np.append(c[1:], end)
         p[first[:-1]] = end
-        left, right = here & (p >= 0), here & (n >= 0)
-        return np.concatenate([r[left] * 2 * width + p[left], (r[right] * 2 + 1) * width + n[right]])
+        last = tokens == END
+        return np.concatenate([r * 2 * width + p, ((r * 2 + 1) * width + n)[~last]])
+
+    def class_pairs(it):
+        own = np.append(shared.value.classes, rare)
+        g = np.zeros(width * width)
+        for batch in it:
+            code, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            before = code // width % 2 == 0
+            to = np.where(code // (2 * width) < len(own), own[np.minimum(code // (2 * width), len(own) - 1)], rare)
+            g += np.bincount((code % width * width + to)[before], c[before], width * width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(g)], names=["code", "c"])
 
     def choose(it):
         codes, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -287,26 +322,34 @@ def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n
             codes.append(batch.column(0).to_numpy(zero_copy_only=False))
             c.append(batch.column(1).to_numpy(zero_copy_only=False))
         codes, c = np.concatenate(codes), np.concatenate(c)
-        rank, where = np.unique(codes // (2 * width), return_inverse=True)
-        seen = np.zeros((len(rank), 2 * width))
-        np.add.at(seen, (where, codes % (2 * width)), c)
-        fit_ = seen[:, :width] @ trans[:, :n_classes] + seen[:, width:] @ trans[:n_classes].T
-        best = fit_.argmax(axis=1) if len(rank) else rank
+        order = np.argsort(codes)
+        codes, c = codes[order], c[order]
+        rank, owner = np.unique(codes // (2 * width), return_inverse=True)
+        best = best_classes(owner, codes // width % 2, codes % width, c, shared.value.classes[rank], pairs_now, n_classes)
         yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(best, pa.int64())], names=["rank", "cls"])
 
-    if k < len(hashes):
-        rows = _coded(train, context_codes).repartition(F.expr(f"code div {2 * width}")).select("code", "c")
+    for _ in range(rounds if len(hashes) else 0):
+        shared = sc.broadcast(model)
+        near = materialize(_coded(train, context_codes), "near")
+        code, c = _columns(near.mapInArrow(class_pairs, "code long, c double").groupBy("code").agg(F.sum("c").alias("c")), "code", "c")
+        pairs_now = np.zeros(width * width)
+        pairs_now[code] = c
+        pairs_now = pairs_now.reshape(width, width)
+        rows = near.filter(F.col("code") < len(hashes) * 2 * width).repartition(F.expr(f"code div {2 * width}"))
         rank, cls = _columns(rows.mapInArrow(choose, "rank long, cls long"), "rank", "cls")  # at most head_words rows
+        shared.unpersist()
+        model.classes = model.classes.copy()
         model.classes[rank] = cls
         model.classes[hashes == END] = end
-    shared.unpersist()
-    release(spark)
+        drop_scratch(near)
+        release(spark)
 
     shared = sc.broadcast(model)
 
     def transition_codes(tokens, first):
         m = shared.value
-        c = m.class_of(m.lookup.ranks(tokens)).astype(np.int64)
+        r = m.lookup.ranks(tokens)
+        c = m.class_of(r).astype(np.int64)
         c[tokens == END] = end
         p = _previous(c, end)
         p[first[:-1]] = end
@@ -315,16 +358,81 @@ def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n
     code, c = _columns(_coded(train, transition_codes), "code", "c")  # at most (classes) squared
     pairs = np.zeros(width * width)
     pairs[code] = c
-    shared.unpersist()
-    model.transition = np.log10(_smooth(pairs.reshape(width, width), alpha))
+    pairs = pairs.reshape(width, width)
+    outside = words.filter((F.col("c") < cut) & ~ends).withColumn("cls", F.lit(rare).cast("long"))
     total = np.bincount(model.classes, weights=counts, minlength=width) if len(counts) else np.zeros(width)
+    if cut > 2:  # words seen twice or more outside the lookup get their class from a table, by joins
+        open_ = materialize(_open(train.withColumn("k", F.monotonically_increasing_id()), shared), "open")
+        tail = open_.join(outside.filter("c > 1").select("w"), "w").groupBy("w").agg(F.collect_list("p").alias("p"), F.collect_list("n").alias("n"))
+
+        def choose_tail(it):
+            for batch in it:
+                for lo in range(0, batch.num_rows, 4096):
+                    part = batch.slice(lo, 4096)
+                    size = part.num_rows
+                    lists = [part.column(i) for i in (1, 2)]
+                    owner = np.concatenate([np.repeat(np.arange(size), np.diff(x.offsets.to_numpy())) for x in lists])
+                    near = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+                    side = np.repeat([0, 1], [len(x.flatten()) for x in lists])
+                    code, c = np.unique((owner * 2 + side) * width + np.where(near < 0, rare, near), return_counts=True)
+                    best = best_classes(code // (2 * width), code // width % 2, code % width, c, np.full(size, rare), pairs, n_classes)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.int64())], names=["w", "cls"])
+
+        found = tail.mapInArrow(choose_tail, "w long, cls long")
+        outside = materialize(outside.drop("cls").join(found, "w", "left").select("w", "c", F.coalesce("cls", F.lit(rare).cast("long")).alias("cls")), "outside")
+        seen = materialize(_resolved(open_, outside, rare).select("p", "cls", "n"), "seen")
+        # in memory each of these words was taken for a rare one
+        for df, sign in ((open_, -1), (seen.withColumnRenamed("cls", "own"), 1)):
+            own = F.lit(rare) if sign < 0 else F.col("own")
+            p = F.when(F.col("p") < 0, rare).otherwise(F.col("p"))
+            into = df.select((p * width + own).alias("code"))
+            out = df.filter("n >= 0").select((own * width + F.col("n")).alias("code"))
+            code, c = _columns(into.unionAll(out).groupBy(F.col("code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("c")), "code", "c")
+            np.add.at(pairs.reshape(-1), code, sign * c)
+        cls, c = _columns(outside.filter("c > 1").groupBy("cls").agg(F.sum("c").alias("c")), "cls", "c")
+        np.add.at(total, cls, c)
+        drop_scratch(open_, seen)
+    shared.unpersist()
+    release(spark)
+    model.transition = np.log10(_smooth(pairs, alpha))
+    model.total = total
     model.emission = np.log10(counts / total[model.classes]) if len(counts) else np.zeros(0)
-    # left out, a word seen once is unknown, and one of up to `cut` occurrences is rare
+    # left out, a word seen once is unknown, and one of two occurrences is rare
     unknown = (low["once"] + 1) / (low["all"] + 2) if low["all"] else 1.0
-    n_rare = n_train - int(counts.sum())
+    n_rare = int(low["once"])
     model.unknown_share = float(np.log10(unknown)) if n_rare else 0.0
     model.rare_share = float(np.log10((1 - unknown) / n_rare)) if n_rare else 0.0
-    return model, words
+    return model, outside
+
+
+def _open(docs: DataFrame, shared) -> DataFrame:
+    """(k, at, w, p, n): tokens outside the lookup, with the classes before and after; -1 is another such token."""
+
+    def run(it):
+        m = shared.value
+        for batch in it:
+            for lo, hi, texts in batches(batch, "text", CHUNK):
+                tokens, first = tokens_of(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _open_tokens(m, tokens, first, batch.column(0).slice(lo, hi - lo).to_numpy())], names=["k", "at", "w", "p", "n"])
+
+    return docs.select("k", "text").mapInArrow(run, "k long, at int, w long, p short, n short")
+
+
+def _open_tokens(m: Model, tokens: np.ndarray, first: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+    r = m.lookup.ranks(tokens)
+    c = np.where(r >= 0, m.class_of(r), -1).astype(np.int16)
+    c[tokens == END] = m.n_classes
+    p, n = _previous(c, m.n_classes), np.append(c[1:], m.n_classes).astype(np.int16)
+    p[first[:-1]] = m.n_classes
+    rest = np.flatnonzero((r < 0) & (tokens != END))
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[rest]
+    return k[owner], (rest - first[owner]).astype(np.int32), signed(tokens[rest]), p[rest], n[rest]
+
+
+def _resolved(open_: DataFrame, outside: DataFrame, rare: int) -> DataFrame:
+    """``open_`` with each token's count c (NULL: unknown) and class cls, and the class before it in p."""
+    rows = open_.join(outside, "w", "left").withColumn("cls", F.coalesce("cls", F.lit(rare).cast("long")))
+    return rows.withColumn("p", F.when(F.col("p") >= 0, F.col("p").cast("long")).otherwise(F.lag("cls").over(Window.partitionBy("k").orderBy("at"))))
 
 
 def score(docs: DataFrame, train: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -336,9 +444,9 @@ def score(docs: DataFrame, train: Column | None = None, *, id_col: str = "doc_id
     """
     base = keyed(docs, id_col, text_col)
     learn = base.select(id_of(base).alias(id_col), "text")
-    model, words = fit(learn if train is None else learn.filter(train), **options)
+    model, outside = fit(learn if train is None else learn.filter(train), **options)
     shared = base.sparkSession.sparkContext.broadcast(model)
-    n, v, cut = model.n_train, model.n_vocabulary, model.cut
+    n, v, rare = model.n_train, model.n_vocabulary, model.rare
     denominator = float(np.log10(n + v + 1))
 
     def run(it):
@@ -349,40 +457,37 @@ def score(docs: DataFrame, train: Column | None = None, *, id_col: str = "doc_id
                 owner = np.repeat(np.arange(len(texts)), np.diff(first))
                 r = m.lookup.ranks(tokens)
                 known = r >= 0
+                closed = known | (tokens == END)
                 c = m.class_of(r).astype(np.int64)
                 c[tokens == END] = m.n_classes
-                p = _previous(c, m.n_classes)
-                p[first[:-1]] = m.n_classes
+                p, before = _previous(c, m.n_classes), np.concatenate(([True], closed[:-1]))
+                p[first[:-1]], before[first[:-1]] = m.n_classes, True
                 at = np.where(known, r, 0)
                 unigram = np.where(known, np.log10(m.counts[at] + 1.0), 0.0) if len(m.counts) else np.zeros(len(r))
-                model_part = m.transition[p, c] + (np.where(known, m.emission[at], 0.0) if len(m.counts) else 0.0)
+                model_part = np.where(closed & before, m.transition[p, c], 0.0) + (np.where(known, m.emission[at], 0.0) if len(m.counts) else 0.0)
                 size = len(texts)
-                rest = np.flatnonzero(~known)
-                order = rest[np.lexsort((tokens[rest], owner[rest]))]
-                w, o = tokens[order], owner[order]
-                cut_at = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])))) if len(w) else order
-                times = np.diff(np.append(cut_at, len(w)))
-                per_text = np.searchsorted(o[cut_at], np.arange(size + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), x) for x in (pa.array(signed(w[cut_at])), pa.array(times, pa.int32()))]
                 n_tokens = np.diff(first)
+                _, place, w, left, right = _open_tokens(m, tokens, first, np.arange(size))
+                per_text = np.concatenate(([0], np.cumsum(np.bincount(owner, ~closed, size).astype(np.int64))))
+                lists = [pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pa.array(x)) for x in (place, w, left, right)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n_tokens, pa.int64()), pa.array(np.bincount(owner, known, size).astype(np.int64)),
                         pa.array(np.bincount(owner, unigram, size) - n_tokens * denominator), pa.array(np.bincount(owner, model_part, size)), *lists,
                     ],
-                    names=["k", "id", "n_tokens", "n_head", "base", "model", "rare_w", "rare_n"],
+                    names=["k", "id", "n_tokens", "n_head", "base", "model", "at", "w", "p", "n"],
                 )
 
-    schema = "k long, id long, n_tokens long, n_head long, base double, model double, rare_w array<long>, rare_n array<int>"
+    schema = "k long, id long, n_tokens long, n_head long, base double, model double, at array<int>, w array<long>, p array<short>, n array<short>"
     scored = materialize(base.select("k", id_of(base).alias("id"), "text").mapInArrow(run, schema), "scored")
-    rare = scored.select("k", F.explode(F.arrays_zip("rare_w", "rare_n")).alias("x")).select("k", F.col("x.rare_w").alias("w"), F.col("x.rare_n").alias("times"))
-    found = rare.join(words.filter(F.col("c") < cut), "w")
-    found = found.groupBy("k").agg(
-        F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("base_gain"), F.sum(F.col("times") * F.log10("c")).alias("gain")
-    )
+    open_ = scored.select("k", F.explode(F.arrays_zip("at", "w", "p", "n")).alias("x")).select("k", "x.*")
+    resolved = _resolved(open_, outside, rare)
+    logs, totals = F.lit(model.transition.ravel().tolist()), F.lit(np.log10(np.maximum(model.total, 1)).tolist())
+    value = F.get(logs, (F.col("p") * (rare + 1) + F.col("cls")).cast("int")) + F.when(F.col("n") < 0, 0.0).otherwise(F.get(logs, (F.col("cls") * (rare + 1) + F.col("n")).cast("int")))
+    emission = F.when(F.col("c").isNull(), model.unknown_share).when(F.col("cls") == rare, F.log10("c") + model.rare_share).otherwise(F.log10("c") - F.get(totals, F.col("cls").cast("int")))
+    found = resolved.groupBy("k").agg(F.count("c").alias("n_rare"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base_gain"), F.sum(value + emission).alias("gain"))
     n_rare, gain, base_gain = (F.coalesce(x, F.lit(0)) for x in ("n_rare", "gain", "base_gain"))
-    rest = n_rare * F.lit(model.rare_share) + (F.col("n_tokens") - F.col("n_head") - n_rare) * F.lit(model.unknown_share)
-    return scored.drop("rare_w", "rare_n").join(found, "k", "left").select(
+    return scored.drop("at", "w", "p", "n").join(found, "k", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("n_head") + n_rare).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + base_gain).alias("base_score"), (F.col("model") + gain + rest).alias("score"),
+        (F.col("base") + base_gain).alias("base_score"), (F.col("model") + gain).alias("score"),
     )
