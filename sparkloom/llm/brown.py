@@ -10,8 +10,10 @@ with an end token after each text (which also stands before its first word).
 2. Bigram counts among the ``clustered`` most frequent words (a bounded
    matrix) feed exchange clustering: each word in turn moves to the class that
    raises the likelihood of the class bigrams most, until few words move.
-3. Each other head word joins the class that its neighbours' classes make
-   likeliest, from context counts over all training texts.
+3. Exchange rounds over all head words, from counts of all their neighbours'
+   classes over all training texts: each moves to the class that raises the
+   likelihood most while the others stay, all at once.  Unclassed neighbours and
+   words outside the head count as one class, so no word is without evidence.
 4. The words seen at least twice outside the head, however many, get their
    class from the neighbours in the same way; word, count and class are a table
    that is joined wherever such a word stands, in training and in scoring.
@@ -248,7 +250,7 @@ def best_classes(owner: np.ndarray, side: np.ndarray, near: np.ndarray, c: np.nd
     return np.where((own < free) & (gain[rows, best] <= gain[rows, stay] + 1e-9), own, best)
 
 
-def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n_classes: int = 48, alpha: float = 20.0, rounds: int = 1) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n_classes: int = 48, alpha: float = 20.0, rounds: int = 2) -> tuple[Model, DataFrame]:
     """(model, table (w, c, cls) of the training words outside its lookup) of the texts in ``train`` (text)."""
     spark = train.sparkSession
     sc = spark.sparkContext

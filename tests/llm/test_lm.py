@@ -63,6 +63,19 @@ def test_scores_are_those_of_the_classes(spark, head):
         assert math.isclose(r.score, want, rel_tol=1e-9)
 
 
+def test_words_are_exchanged_against_all_classed_neighbours(spark):
+    """b words stand after m words only, d words after n words only, and none of the four is among the most frequent."""
+    lines = []
+    for a, m, last in (("x", "m", "b"), ("y", "n", "d")):
+        lines += [f"{a} {m} {last}"] * 300
+        lines += [f"{a} {m}{j % 8} {last}" for j in range(64)]
+        lines += [f"{a} {m}{j % 8} {last}{j % 6}" for j in range(24)]
+    train = spark.createDataFrame([(x,) for x in lines], "text string")
+    cls, _ = fitted(train, n_classes=6, clustered=7)
+    group = {x: {cls[tokens(f"{x}{i}")[0]] for i in range(6)} for x in "bd"}
+    assert not group["b"] & group["d"]
+
+
 def test_end_token_outside_the_most_frequent_words(spark):
     train = spark.createDataFrame([("a a a b b b c c d",)], "text string")
     _, model = fitted(train, n_classes=2, head_words=1)
