@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fold
+from sparkloom.llm.common import drop_scratch, fold, materialize
 from sparkloom.llm.textops import BASES, CODES, Words, batches, prefix, spans
 
 #: Byte classes whose share of a line's non-space bytes is a feature.
@@ -175,8 +175,11 @@ def _curve(raw: np.ndarray, curve: tuple[float, float]) -> np.ndarray:
     return 1 / (1 + np.exp(-(curve[0] + curve[1] * np.log(r / (1 - r)))))
 
 
-def train(lines: Lines, label: np.ndarray, *, steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Model:
-    """Maximum conditional likelihood (Adam) of lines labelled like their texts."""
+def train(lines: Lines, label: np.ndarray, *, max_lines: int = 200, steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Model:
+    """Maximum conditional likelihood (Adam) of lines labelled like their texts.
+
+    A long text is learned from as several chains of at most ``max_lines`` lines.
+    """
     prior = float(label.mean()) if len(label) else 0.5
     own = lines.observations()
     n_nodes = len(own)
@@ -186,11 +189,12 @@ def train(lines: Lines, label: np.ndarray, *, steps: int = 150, rate: float = 0.
     mean[-1], scale[-1] = 0.0, 1.0
     scale = np.where(scale > 1e-9, scale, 1.0)
     x = np.clip((own - mean) / scale, -8, 8)
-    lengths = np.bincount(lines.owner, minlength=lines.n_texts)
+    place = np.arange(n_nodes) - np.searchsorted(lines.owner, lines.owner)
+    chain = np.cumsum(place % max_lines == 0)
+    lengths = np.bincount(chain)[1:]
     y = label[lines.owner].astype(float)
-    lengths = lengths[lengths > 0]
     seen = np.zeros((2, 2))
-    inner = lines.owner[1:] == lines.owner[:-1]
+    inner = chain[1:] == chain[:-1]
     np.add.at(seen, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), 1)
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -219,7 +223,12 @@ def _fit_curve(raw: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, max_rows: int = 4000, max_lines: int = 200) -> Model:
-    """A model from at most ``max_rows`` labelled documents outside fold 0 of at most ``max_lines`` lines."""
+    """A model from all lines of at most ``max_rows`` labelled documents outside fold 0.
+
+    If they have more than ``max_rows * max_lines`` lines together, the longest
+    give a run of consecutive lines each, from where the hash of the id says, of
+    the one length that keeps to that number.
+    """
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
     chosen = chosen.select(id_col, F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64(id_col), id_col, "_label").limit(max_rows)
     sample = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)  # at most max_rows
@@ -230,16 +239,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 lines = line_features(texts)
                 n = np.bincount(lines.owner, minlength=len(texts))
                 cut = np.concatenate(([0], np.cumsum(n)))
-                rows = [np.column_stack([lines.weight[a:b], lines.own[a:b]]).astype("<f8").tobytes() if b - a <= max_lines else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                rows = [np.column_stack([lines.weight[a:b], lines.own[a:b]]).astype("<f8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["id", "label", "lines"])
-
-    got = sample.select(F.col(id_col).cast("long"), "text", "_label").mapInArrow(run, "id long, label int, lines binary").filter("lines IS NOT NULL").collect()
-    got.sort(key=lambda r: (r["id"], r["label"], bytes(r["lines"])))
-    tables = [np.frombuffer(bytes(r["lines"]), dtype="<f8").reshape(-1, N_OWN + 1) for r in got]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], names=["id", "label", "n", "lines"])
+
+    got = materialize(sample.select(F.col(id_col).cast("long"), "text", "_label").mapInArrow(run, "id long, label int, n long, lines binary"), "lines")
+    most = longest_run(np.array([r["n"] for r in got.select("n").collect()], dtype=np.int64), max_rows * max_lines)
+    size = (N_OWN + 1) * 8
+    start = F.crc32(F.col("id").cast("string").cast("binary")) % F.greatest(F.col("n") - most + 1, F.lit(1))
+    rows = got.select("id", "label", F.substring("lines", (start * size + 1).cast("int"), F.lit(most * size)).alias("lines")).collect()
+    drop_scratch(got)
+    rows.sort(key=lambda r: (r["id"], r["label"], bytes(r["lines"])))
+    tables = [np.frombuffer(bytes(r["lines"]), dtype="<f8").reshape(-1, N_OWN + 1) for r in rows]
     flat = np.concatenate(tables) if tables else np.zeros((0, N_OWN + 1))
     owner = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
-    return train(Lines(owner, flat[:, 0], flat[:, 1:], len(tables)), np.array([r["label"] for r in got]))
+    return train(Lines(owner, flat[:, 0], flat[:, 1:], len(tables)), np.array([r["label"] for r in rows]), max_lines=max_lines)
+
+
+def longest_run(sizes: np.ndarray, budget: int) -> int:
+    """The largest m with ``sum(min(size, m)) <= budget``; at most the largest size."""
+    lo, hi = 0, int(sizes.max(initial=0))
+    while lo < hi:
+        m = (lo + hi + 1) // 2
+        lo, hi = (m, hi) if np.minimum(sizes, m).sum() <= budget else (lo, m - 1)
+    return lo
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
