@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm import decontam, jaccard, packing, quality, queries, substrings
 from sparkloom.llm.common import materialize
 
-#: No SQL expresses the learned, the iterative and the packing stages; tests/llm holds them against brute force.
+#: No SQL expresses the learned, the iterative and the packing stages.  tests/llm holds the operators of the Jaccard,
+#: passage and leak stages against brute force, each on its own; of the whole chain it only tests properties.
 ORACLE_SQL = None
 
 

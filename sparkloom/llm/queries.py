@@ -106,7 +106,7 @@ SELECT page_id, host, path, rh || rp AS rule, coalesce(rv, 'allow') AS verdict F
 
 
 def oracle_sql() -> dict[str, str]:
-    """What SQL can state; learned, packed and rendered results are held against brute force in the tests."""
+    """What SQL can state; of learned, packed and rendered results the tests hold what README names."""
     return {
         "op3_url_filters": _url_sql(),
         "op5_ngram_jaccard_join": oracles.jaccard_components(4, 85),
