@@ -42,25 +42,34 @@ def mark_join(outer: DataFrame, key: str, inner: DataFrame, inner_key: str, mark
     return out.withColumn(mark, value).drop("_k", "_hit", "_n", "_nn")
 
 
-def any_compare(outer: DataFrame, key: str, op: str, inner: DataFrame, inner_key: str, mark: str = "mark") -> DataFrame:
-    """``key op ANY (inner)`` as a three-valued column, from MIN, MAX and NULL facts."""
-    if op == "=":
+def any_compare(outer: DataFrame, key: str, op: str, inner: DataFrame, inner_key: str, mark: str = "mark", on: tuple[str, str] | None = None) -> DataFrame:
+    """``key op ANY (inner)`` as a three-valued column, from MIN, MAX and NULL facts.
+
+    ``on``: (outer column, inner column) that a correlated subquery equates; the
+    facts are then those of each group of the inner column.
+    """
+    if op == "=" and on is None:
         return mark_join(outer, key, inner, inner_key, mark)
-    v = F.col(inner_key)
-    facts = inner.agg(
-        F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count(v).alias("_nn"),
-    )
-    k, lo, hi = F.col(key), F.col("_lo"), F.col("_hi")
-    tests = {"<": k < hi, "<=": k <= hi, ">": k > lo, ">=": k >= lo, "<>": (k != lo) | (k != hi)}
+    v, k, lo, hi, n = F.col(inner_key), F.col(key), F.col("_lo"), F.col("_hi"), F.coalesce("_n", F.lit(0))
+    facts = [F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count(v).alias("_nn")]
+    tests = {"<": k < hi, "<=": k <= hi, ">": k > lo, ">=": k >= lo, "<>": (k != lo) | (k != hi), "=": F.col("_hit")}
     if op not in tests:
         raise ValueError(f"unknown comparison {op!r}")
     value = (
-        F.when(F.col("_n") == 0, F.lit(False))
+        F.when(n == 0, F.lit(False))
         .when(F.coalesce(tests[op], F.lit(False)), F.lit(True))
-        .when(k.isNull() | (F.col("_n") > F.col("_nn")), F.lit(None).cast("boolean"))
+        .when(k.isNull() | (n > F.col("_nn")), F.lit(None).cast("boolean"))
         .otherwise(F.lit(False))
     )
-    return outer.join(F.broadcast(facts), F.lit(True)).withColumn(mark, value).drop("_lo", "_hi", "_n", "_nn")
+    if on is None:
+        out = outer.join(F.broadcast(inner.agg(*facts)), F.lit(True))
+    else:
+        group = F.col(on[1]).alias("_on")
+        out = outer.join(inner.groupBy(group).agg(*facts), F.col(on[0]) == F.col("_on"), "left_outer").drop("_on")
+        if op == "=":
+            hits = inner.filter(v.isNotNull()).select(group, v.alias("_k")).distinct().withColumn("_hit", F.lit(True))
+            out = out.join(hits, (F.col(on[0]) == F.col("_on")) & (k == F.col("_k")), "left_outer").drop("_on")
+    return out.withColumn(mark, value).drop("_lo", "_hi", "_n", "_nn", "_k", "_hit")
 
 
 def scalar_correlated(outer: DataFrame, inner: DataFrame, key: str, inner_key: str, agg: Column, name: str) -> DataFrame:

@@ -109,6 +109,16 @@ def _any_sql(op: str) -> str:
     return f"SELECT c_custkey, NULLIF(c_nationkey, 7) {op} ANY (SELECT NULLIF(n_nationkey, 3) FROM nation WHERE n_regionkey = 3) AS mark FROM customer"
 
 
+def _mark_correlated(spark, d, op):
+    cust, supp = (_nulled(x.withColumn("size", F.floor(bal).cast("long") % 10), "size", 3) for x, bal in zip(_t(spark, d, "customer", "supplier"), ("c_acctbal", "s_acctbal"), strict=True))
+    return O.any_compare(cust, "size", op, supp.withColumnRenamed("size", "s_size"), "s_size", on=("c_nationkey", "s_nationkey")).select("c_custkey", "mark")
+
+
+def _any_correlated_sql(op: str) -> str:
+    size = "NULLIF(CAST(floor({}_acctbal) AS BIGINT) % 10, 3)"
+    return f"SELECT c_custkey, {size.format('c')} {op} ANY (SELECT {size.format('s')} FROM supplier WHERE s_nationkey = c_nationkey) AS mark FROM customer"
+
+
 LO = "l_orderkey = o_orderkey"
 BUILT: dict[str, tuple[Query, str]] = {
     "scan_pruned": (lambda s, d: O.project(table(s, d, "lineitem"), "l_orderkey", "l_quantity"), "SELECT l_orderkey, l_quantity FROM lineitem"),
@@ -149,6 +159,7 @@ BUILT: dict[str, tuple[Query, str]] = {
     "sub_any_less": (lambda s, d: _mark(s, d, "<"), _any_sql("<")),
     "sub_any_greater_equal": (lambda s, d: _mark(s, d, ">="), _any_sql(">=")),
     "sub_any_not_equal": (lambda s, d: _mark(s, d, "<>"), _any_sql("<>")),
+    **{f"sub_any_correlated_{name}": (lambda s, d, op=op: _mark_correlated(s, d, op), _any_correlated_sql(op)) for name, op in (("equal", "="), ("less", "<"), ("less_equal", "<="), ("greater", ">"), ("greater_equal", ">="), ("not_equal", "<>"))},
     "sub_not_in_mark": (
         lambda s, d: O.not_in_subquery(table(s, d, "customer"), "c_nationkey", table(s, d, "supplier").filter("s_acctbal < 0"), "s_nationkey").select("c_custkey"),
         "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)",
