@@ -4,7 +4,8 @@ A tolerant tokenizer feeds a tree builder that supplies implied tags (html,
 body, closing p, li, dt, dd, option, tr, td, th and table sections) and
 ignores stray end tags; invisible elements (head contents, scripts, styles,
 templates, ``hidden``, ``aria-hidden="true"``, ``display:none``,
-``visibility:hidden``, closed ``details``, hidden inputs) are left out; the
+``visibility:hidden``, closed ``details`` but for their summary, hidden inputs)
+are left out; the
 renderer emits all visible text: inline white space collapses, blocks are
 separated by line breaks (paragraph-like ones by a blank line), list items get
 markers and indentation, preformatted text keeps its layout, and table cells
@@ -60,19 +61,19 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "tag", "visible", "start")
+    __slots__ = ("children", "tag", "visible", "start", "closed")
 
-    def __init__(self, tag: str, visible: bool = True, start: int = 1):
-        self.tag, self.visible, self.start, self.children = tag, visible, start, []
+    def __init__(self, tag: str, visible: bool = True, start: int = 1, closed: bool = False):
+        self.tag, self.visible, self.start, self.closed, self.children = tag, visible, start, closed, []
 
 
-def _visible(tag: str, attrs: str) -> tuple[bool, int]:
-    """(whether the element is shown, an ordered list's first number)."""
+def _visible(tag: str, attrs: str) -> tuple[bool, int, bool]:
+    """(whether the element is shown, an ordered list's first number, whether only its summary is shown)."""
     start = 1
     if tag in INVISIBLE:
-        return False, start
+        return False, start, False
     if not attrs or attrs.isspace():
-        return tag != "details", start
+        return True, start, tag == "details"
     found = {}
     for name, a, b, c in _ATTR.findall(attrs):
         found.setdefault(name.lower(), unescape(a or b or c))
@@ -81,7 +82,7 @@ def _visible(tag: str, attrs: str) -> tuple[bool, int]:
     shown = not (
         "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")) or (tag == "input" and found.get("type", "").lower() == "hidden")
     )
-    return shown and (tag != "details" or "open" in found), start
+    return shown, start, tag == "details" and "open" not in found
 
 
 def parse(page: str) -> Node:
@@ -142,8 +143,7 @@ def parse(page: str) -> Node:
             row = Node("tr")  # a cell implies its row
             stack[-1].children.append(row)
             stack.append(row)
-        shown, start = _visible(tag, m[4])
-        node = Node(tag, shown, start)
+        node = Node(tag, *_visible(tag, m[4]))
         stack[-1].children.append(node)
         if tag in VOID or m[4].endswith("/") and tag in ("svg", "path"):
             continue
@@ -320,7 +320,10 @@ def render(root: Node) -> str:
             out.block(tag in PARAGRAPH)
             leave.append(("block", tag in PARAGRAPH))
         todo.extend(leave)
-        todo.extend(("visit", c) for c in reversed(node.children))
+        shown = node.children
+        if node.closed:
+            shown = [c for c in shown if isinstance(c, Node) and c.tag == "summary"][:1]
+        todo.extend(("visit", c) for c in reversed(shown))
 
     grids: list[list[str]] = []
     while todo:
