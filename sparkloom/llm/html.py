@@ -23,7 +23,9 @@ columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,28 +63,30 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "tag", "visible", "start", "closed")
+    __slots__ = ("children", "tag", "visible", "start", "closed", "span")
 
-    def __init__(self, tag: str, visible: bool = True, start: int = 1, closed: bool = False):
-        self.tag, self.visible, self.start, self.closed, self.children = tag, visible, start, closed, []
+    def __init__(self, tag: str, visible: bool = True, start: int = 1, closed: bool = False, span: int = 1):
+        self.tag, self.visible, self.start, self.closed, self.span, self.children = tag, visible, start, closed, span, []
 
 
-def _visible(tag: str, attrs: str) -> tuple[bool, int, bool]:
-    """(whether the element is shown, an ordered list's first number, whether only its summary is shown)."""
-    start = 1
+def _visible(tag: str, attrs: str) -> tuple[bool, int, bool, int]:
+    """(whether the element is shown, an ordered list's first number, whether only its summary is shown, columns of a cell)."""
+    start, span = 1, 1
     if tag in INVISIBLE:
-        return False, start, False
+        return False, start, False, span
     if not attrs or attrs.isspace():
-        return True, start, tag == "details"
+        return True, start, tag == "details", span
     found = {}
     for name, a, b, c in _ATTR.findall(attrs):
         found.setdefault(name.lower(), unescape(a or b or c))
     if tag == "ol" and re.fullmatch(r"-?\d{1,9}", found.get("start", "")):
         start = int(found["start"])
+    if tag in ("td", "th") and (m := re.match(r"\s*\+?(\d{1,9})", found.get("colspan", ""), re.A)):
+        span = min(max(int(m[1]), 1), 1000)  # the HTML standard's bounds
     shown = not (
         "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")) or (tag == "input" and found.get("type", "").lower() == "hidden")
     )
-    return shown, start, tag == "details" and "open" not in found
+    return shown, start, tag == "details" and "open" not in found, span
 
 
 def parse(page: str) -> Node:
@@ -237,15 +241,35 @@ def _rows(table: Node) -> tuple[list[list[Node]], list[Node]]:
     return rows, rest
 
 
-def _grid(cells: list[list[str]]) -> str:
-    """Rows with cells padded to their column's widest single line; others are put on their own lines."""
-    if any("\n" in c for row in cells for c in row):
-        return "\n".join("\n".join(c for c in row if c) for row in cells if any(row))
-    width: dict[int, int] = {}
-    for row in cells:
-        for i, c in enumerate(row):
-            width[i] = max(width.get(i, 0), len(c))
-    return "\n".join("  ".join(c.ljust(width[i]) for i, c in enumerate(row)).rstrip() for row in cells if any(row))
+def _grid(cells: list[list[str]], spans: list[list[int]]) -> str:
+    """Rows with cells padded, line by line, to the widest line of their columns; a row is as high as its highest cell."""
+    placed = []  # rows of (first column, column after the last, lines)
+    for row, span in zip(cells, spans, strict=True):
+        ends = list(accumulate(span))
+        placed.append([(j - n, j, c.split("\n")) for c, n, j in zip(row, span, ends, strict=True)])
+    starts = sorted({i for row in placed for i, _, _ in row})  # columns where no cell starts take no room
+    number = {i: k for k, i in enumerate(starts)}
+    width = [0] * len(starts)
+    wide = []
+    for row in placed:
+        for i, j, lines in row:
+            k, after, most = number[i], bisect_left(starts, j), max(map(len, lines))
+            if after == k + 1:
+                width[k] = max(width[k], most)
+            elif after < len(starts):  # in the last columns it needs no room
+                wide.append((after, k, most))
+    for after, k, most in sorted(wide):
+        width[after - 1] += max(0, most - sum(width[k:after]) - 2 * (after - k - 1))
+    left = [0, *accumulate(w + 2 for w in width)]
+    out = []
+    for row, texts in zip(placed, cells, strict=True):
+        for h in range(max(len(lines) for _, _, lines in row) if any(texts) else 0):
+            line = ""
+            for i, _, lines in row:
+                if h < len(lines) and lines[h]:
+                    line = line.ljust(left[number[i]]) + lines[h]
+            out.append(line)
+    return "\n".join(out)
 
 
 def render(root: Node) -> str:
@@ -284,7 +308,7 @@ def render(root: Node) -> str:
             rows, rest = _rows(node)
             out.block(True)
             todo.append(("block", True))
-            todo.append(("grid", [len(r) for r in rows]))
+            todo.append(("grid", [[cell.span for cell in r] for r in rows]))
             for row in reversed(rows):
                 for cell in reversed(row):
                     todo.append(("cell", cell))
@@ -351,11 +375,12 @@ def render(root: Node) -> str:
             grids[-1].append(outs.pop().text())
         elif what == "grid":
             flat, rows = grids.pop(), []
-            for n in x:
-                rows.append(flat[:n])
-                flat = flat[n:]
+            at = 0
+            for spans in x:
+                rows.append(flat[at : at + len(spans)])
+                at += len(spans)
             out.end_line()
-            for line in _grid(rows).split("\n"):
+            for line in _grid(rows, x).split("\n"):
                 if line.strip():
                     out.word(line)
                     out.end_line()

@@ -17,3 +17,18 @@ from sparkloom.llm import html
 )
 def test_details(page, want):
     assert html.page_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><tr><td>aa<br>b<td>c<tr><td>d<td>eeee<td>f</table>", "aa  c\nb\nd   eeee  f"),
+        ("<table><tr><td>x<td><ul><li>a<li>bb</ul><td>y<tr><td>longer<td>z<td>w</table>", "x       - a   y\n        - bb\nlonger  z     w"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>dd<td>ee<td>ff</table>", "ab      c\ndd  ee  ff"),
+        ("<table><tr><td colspan=2>a wide heading<td>c<tr><td>dd<td>ee<td>ff</table>", "a wide heading  c\ndd  ee          ff"),
+        ("<table><tr><td colspan=1000>a<td>b<tr><td colspan=0>c<td colspan=x>d</table>", "a     b\nc  d"),
+        ("<table><tr><td>a<td><table><tr><td>p<td>q<tr><td>rr<td>s</table><td>z</table>", "a  p   q  z\n   rr  s"),
+    ],
+)
+def test_table_layout(page, want):
+    assert html.page_text(page) == want
