@@ -3,20 +3,21 @@
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)), over lower-cased words
 with an end token after each text (which also stands before its first word).
 
-1. Word counts of all training texts, aggregated by word (a table that grows
-   with the corpus).  Words counted at least as often as a cut-off chosen so
-   that at most ``head_words`` remain form the head, whose size is bounded and
-   which is looked up in memory (with the end token in any case).
-2. Bigram counts among the ``clustered`` most frequent words (a bounded
-   matrix) feed exchange clustering: each word in turn moves to the class that
-   raises the likelihood of the class bigrams most, until few words move.
-3. Exchange rounds over all head words, from counts of all their neighbours'
-   classes over all training texts: each moves to the class that raises the
-   likelihood most while the others stay, all at once.  Unclassed neighbours and
-   words outside the head count as one class, so no word is without evidence.
-4. The words seen at least twice outside the head, however many, get their
-   class from the neighbours in the same way; word, count and class are a table
-   that is joined wherever such a word stands, in training and in scoring.
+1. Word counts of all training texts, aggregated by word: a table that grows
+   with the corpus and is stored in buckets by word.
+2. All texts are coded once, in chunks of some MB: a word is a rank in a cache
+   of the most frequent words (at most ``cache_words``, held in memory), else an
+   index into the chunk's own list of other words.  What belongs to those words
+   (count, class) is joined by word and reaches the chunk as one list.  The
+   cache spares the join most tokens and decides nothing: the model is the same
+   for any size of it.
+3. Exchange clustering one word at a time on the bigrams of the ``seeds`` most
+   frequent words, a matrix of fixed size, gives the first classes.
+4. Exchange rounds over every word that occurs twice or more, whatever the
+   vocabulary: from counts of the classes of all its neighbours in all training
+   texts each word moves to the class that raises the likelihood most while the
+   others stay, all at once.  Words not classed yet and words seen once count as
+   one class, so no word is without evidence.
 5. Class-transition counts over all training texts, smoothed towards class
    frequencies; emissions are relative frequencies.  The rare class holds the
    words seen once; in it one unknown word has the share that leaving each
@@ -25,25 +26,30 @@ with an end token after each text (which also stands before its first word).
 
 Defined cases: NULL and empty texts are the end token alone; rows with equal
 or NULL ids are scored a row at a time (a NULL id's fold is that of the empty
-text); an empty training set gives every token the unknown word's share; an
+text); an empty training set gives every word the unknown word's share; an
 empty table gives no rows; further columns are not read.  Words are identified
 by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import drop_scratch, id_of, keyed, materialize, release
+from sparkloom.llm.common import bucketed, buckets, drop_scratch, id_of, keyed, materialize, release
 from sparkloom.llm.textops import Words, batches, signed
 
 END = np.uint64(0x5DEECE66D1234567)
-CHUNK = 1 << 20
+RUN = 1 << 20  # bytes of text hashed at once
+CHUNK = 1 << 22  # bytes of text in a coded chunk
+DENSE = 1 << 14  # ranks whose neighbours are counted in one array
+LIMIT = 1 << 19  # distinct codes that a task gathers before it emits them
 
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +60,7 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lookup:
-    """Word hash -> rank by count (0 the most frequent), -1 for words not in the head.
+    """Word hash -> rank by count (0 the most frequent), -1 for words not in the cache.
 
     Two direct-address tables on different hash bits hold nearly all words;
     what collides in both is found by binary search.
@@ -94,39 +100,141 @@ class Lookup:
         return out
 
 
-def _tally(texts_codes, emit, limit: int = 1 << 19):
-    """Sum equal codes over chunks and emit (code, count) batches whenever many have gathered."""
-    codes, counts, held = [], [], 0
+class Tally:
+    """Counts of int64 codes, equal ones summed whenever many have gathered."""
+
+    def __init__(self, limit: int = LIMIT):
+        self.limit, self.codes, self.counts, self.held = limit, [], [], 0
+
+    def _merge(self) -> None:
+        u, inverse = np.unique(np.concatenate(self.codes), return_inverse=True)
+        c = np.bincount(inverse, weights=np.concatenate(self.counts), minlength=len(u)).astype(np.int64)
+        self.codes, self.counts, self.held = [u], [c], len(u)
+
+    def add(self, codes: np.ndarray) -> bool:
+        """Whether it is time to empty it."""
+        u, c = np.unique(codes, return_counts=True)
+        self.codes.append(u)
+        self.counts.append(c)
+        self.held += len(u)
+        if self.held > 2 * self.limit:
+            self._merge()
+        return self.held > self.limit and len(self.codes) == 1
+
+    def empty(self) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, counts), codes ascending; nothing is left."""
+        if not self.codes:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self._merge()
+        out = self.codes[0], self.counts[0]
+        self.codes, self.counts, self.held = [], [], 0
+        return out
+
+
+def count_words(train: DataFrame) -> DataFrame:
+    """(w, c): occurrences of every word, and of END, in ``train`` (text)."""
+
+    def run(it):
+        tally = Tally()
+        for batch in it:
+            for _, _, texts in batches(batch, "text", RUN):
+                if tally.add(signed(tokens_of(texts)[0])):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in tally.empty()], names=["w", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in tally.empty()], names=["w", "c"])
+
+    return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
 
-    def merged():
-        order = np.concatenate(codes)
-        weight = np.concatenate(counts)
-        u, inverse = np.unique(order, return_inverse=True)
-        return u, np.bincount(inverse, weights=weight, minlength=len(u)).astype(np.int64)
+# -- coded texts -----------------------------------------------------------
 
-    for chunk in texts_codes:
-        u, c = np.unique(chunk, return_counts=True)
-        codes.append(u)
-        counts.append(c)
-        held += len(u)
-        if held > 2 * limit:
-            u, c = merged()
-            codes, counts, held = [u], [c], len(u)
-            if held > limit:
-                yield emit(u, c)
-                codes, counts, held = [], [], 0
-    if codes:
-        yield emit(*merged())
+CODED = "chunk long, k array<long>, id array<long>, learn array<boolean>, n binary, codes binary, open array<long>"
 
 
-def _coded(train: DataFrame, codes_of) -> DataFrame:
-    """(code, c): counts of the int64 codes that ``codes_of`` makes of each run of texts."""
+def code_texts(base: DataFrame, lookup) -> DataFrame:
+    """Chunks of ``base`` (k, id, learn, text) as word codes.
+
+    n: tokens of each text; codes: -1 the end token, a rank in the cache, or
+    -2 - j for the j-th word in ``open``, the chunk's sorted list of others.
+    """
 
     def run(it):
-        chunks = (codes_of(*tokens_of(texts)) for batch in it for _, _, texts in batches(batch, "text", CHUNK))
-        yield from _tally(chunks, lambda u, c: pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(c, pa.int64())], names=["code", "c"]))
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+        size = 0
+
+        def chunk():
+            nonlocal seq
+            tokens, n = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            codes = lookup.value.ranks(tokens)
+            codes[tokens == END] = -1
+            other = np.flatnonzero((codes < 0) & (tokens != END))
+            words, j = np.unique(tokens[other], return_inverse=True)
+            codes[other] = -2 - j
+            rows = pa.concat_arrays([x[0] for x in held])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), rows.field(c)) for c in ("k", "id", "learn")]
+            out = [pa.array([(part << 32) + seq], pa.int64()), *lists, pa.array([n.astype("<i4").tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary())]
+            out.append(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(signed(words))))
+            seq += 1
+            return pa.RecordBatch.from_arrays(out, names=["chunk", "k", "id", "learn", "n", "codes", "open"])
+
+        for batch in it:
+            keys = pa.StructArray.from_arrays([batch.column(i) for i in range(3)], names=["k", "id", "learn"])
+            for lo, hi, texts in batches(batch, "text", RUN):
+                tokens, first = tokens_of(texts)
+                held.append((keys.slice(lo, hi - lo), tokens, np.diff(first)))
+                size += sum(map(len, texts))
+                if size >= CHUNK:
+                    yield chunk()
+                    held, size = [], 0
+        if held:
+            yield chunk()
+
+    return base.select("k", "id", "learn", "text").mapInArrow(run, CODED)
+
+
+def _with_lists(coded: DataFrame, rows: DataFrame) -> DataFrame:
+    """``coded`` with ``known``: what ``rows`` (chunk, code) holds of each chunk's other words."""
+    return coded.join(rows.groupBy("chunk").agg(F.collect_list("code").alias("known")), "chunk", "left")
+
+
+def _packed(c: Column | str) -> Column:
+    """Count, index and class of another word in one long."""
+    return F.shiftleft(F.col(c) if isinstance(c, str) else c, 32).bitwiseOR(F.shiftleft(F.col("j").cast("long"), 8)).bitwiseOR(F.col("cls")).alias("code")
+
 
-    return train.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+@dataclass
+class Chunk:
+    """A row of coded texts: codes and classes of all its tokens, and what is known of its other words."""
+
+    rows: pa.RecordBatch
+    n: np.ndarray
+    codes: np.ndarray
+    cls: np.ndarray
+    open_words: np.ndarray
+    open_counts: np.ndarray  # 0: not in the training texts, or not asked for
+
+
+def _chunks(it, classes: np.ndarray, end: int, rare: int, training: bool) -> Iterator[Chunk]:
+    """The chunks of coded rows with ``known``; only the training texts if asked for."""
+    for batch in it:
+        at = batch.schema.get_field_index
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            n = np.frombuffer(row.column(at("n"))[0].as_py(), "<i4").astype(np.int64)
+            codes = np.frombuffer(row.column(at("codes"))[0].as_py(), "<i4")
+            if training:
+                learn = row.column(at("learn"))[0].values.to_numpy(zero_copy_only=False).astype(bool)
+                codes = codes[np.repeat(learn, n)]
+            words = row.column(at("open"))[0].values.to_numpy(zero_copy_only=False)
+            known = row.column(at("known")).fill_null([])[0].values.to_numpy(zero_copy_only=False)
+            counts, own = np.zeros(len(words), dtype=np.int64), np.full(len(words), rare)
+            j = (known >> 8) & 0xFFFFFF
+            counts[j], own[j] = known >> 32, known & 0xFF
+            cls = classes[np.maximum(codes, 0)].astype(np.int64) if len(classes) else np.full(len(codes), rare)
+            cls[codes == -1] = end
+            other = codes < -1
+            cls[other] = own[-2 - codes[other]]
+            yield Chunk(row, n, codes, cls, words, counts)
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -135,6 +243,10 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [table.column(x).to_numpy() for x in names]
 
 
+def _previous(x: np.ndarray, first: int) -> np.ndarray:
+    return np.concatenate(([first], x[:-1])).astype(x.dtype)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -188,20 +300,65 @@ def exchange(bigrams: np.ndarray, classes: np.ndarray, movable: np.ndarray, n_cl
     return cls
 
 
+class Gains:
+    """What moving a word to each of the first ``free`` classes adds to the likelihood of class bigrams ``g``."""
+
+    SMALL = 8
+
+    def __init__(self, g: np.ndarray, free: int):
+        self.g, self.free = (g[:, :free], g.T[:, :free]), free  # by the side of the neighbour: before, after
+        self.totals = g.sum(axis=0)[:free], g.sum(axis=1)[:free]
+        n = np.arange(self.SMALL + 1)[:, None, None]
+        self.table = np.stack([_xlogx(m + n) - _xlogx(m) for m in (x[None] for x in self.g)])  # side, n, neighbour, class
+
+    def best(self, owner: np.ndarray, side: np.ndarray, near: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The best class for each of len(own) words on its own.
+
+        A word's neighbours: ``c`` of class ``near`` before (side 0) or after it
+        (side 1), rows sorted by ``owner``.  g holds the word in its class
+        ``own``.  Pairs of a word with itself count as pairs with its class.
+        Gains are compared to a millionth, so the order of sums decides nothing.
+        """
+        free = self.free
+        gain = np.zeros((len(own), free))
+        for lo in range(0, len(owner), 1 << 12):
+            o, s, j, n = (x[lo : lo + (1 << 12)] for x in (owner, side, near, c))
+            value = self.table[s, np.minimum(n, self.SMALL), j]
+            big = np.flatnonzero(n > self.SMALL)
+            m = np.where(s[big, None] == 0, self.g[0][j[big]], self.g[1][j[big]])
+            value[big] = _xlogx(m + n[big, None]) - _xlogx(m)
+            inside = np.flatnonzero(own[o] < free)  # in its own class the word's pairs are already counted
+            mine = own[o[inside]]
+            m = np.where(s[inside] == 0, self.g[0][j[inside], mine], self.g[1][j[inside], mine])
+            without = np.maximum(m - n[inside], 0)
+            value[inside, mine] = _xlogx(without + n[inside]) - _xlogx(without)
+            at = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+            gain[o[at]] += np.add.reduceat(value, at, axis=0)
+        rows = np.arange(len(own))
+        stay = np.minimum(own, free - 1)
+        for x, total in enumerate(self.totals):
+            n = np.bincount(owner, np.where(side == x, c, 0), len(own))[:, None]
+            m = np.maximum(total - n * (own[:, None] == np.arange(free)), 0)
+            gain -= _xlogx(m + n) - _xlogx(m)
+        gain = np.round(gain, 6)
+        best = gain.argmax(axis=1) if len(own) else own
+        return np.where((own < free) & (gain[rows, best] <= gain[rows, stay]), own, best)
+
+
 @dataclass
 class Model:
     """Classes 0 .. C-1 are learned; C is the end token's, C + 1 that of unknown words and those seen once."""
 
-    lookup: Lookup
+    words: np.ndarray  # hashes of the cached words, most frequent first
     counts: np.ndarray
     classes: np.ndarray
     n_classes: int
-    cut: int
+    cut: int  # count from which words are in the cache
     n_train: int
     n_vocabulary: int
+    n_ends: int
     transition: np.ndarray | None = None  # log10
-    total: np.ndarray | None = None  # training tokens of each class's words
-    emission: np.ndarray | None = None  # log10 of each head word within its class
+    total: np.ndarray | None = None  # training tokens of each class's words seen twice or more
     rare_share: float = 0.0  # log10 share of a word seen once in the rare class
     unknown_share: float = 0.0  # log10 share of the unknown word in the rare class
 
@@ -209,14 +366,10 @@ class Model:
     def rare(self) -> int:
         return self.n_classes + 1
 
-    def class_of(self, ranks: np.ndarray) -> np.ndarray:
-        if not len(self.classes):
-            return np.full(len(ranks), self.rare)
-        return np.where(ranks >= 0, self.classes[ranks], self.rare)
-
-
-def _previous(x: np.ndarray, first: int) -> np.ndarray:
-    return np.concatenate(([first], x[:-1])).astype(x.dtype)
+    def emission(self, counts: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 share of words of these counts in their classes."""
+        share = np.log10(np.maximum(counts, 1)) - np.log10(np.maximum(self.total[cls], 1))
+        return np.where(counts > 1, share, np.where(counts == 1, self.rare_share, self.unknown_share))
 
 
 def _smooth(pairs: np.ndarray, alpha: float) -> np.ndarray:
@@ -226,215 +379,246 @@ def _smooth(pairs: np.ndarray, alpha: float) -> np.ndarray:
     return (pairs + alpha * one) / (pairs.sum(axis=1, keepdims=True) + alpha)
 
 
-def best_classes(owner: np.ndarray, side: np.ndarray, near: np.ndarray, c: np.ndarray, own: np.ndarray, g: np.ndarray, free: int) -> np.ndarray:
-    """The class among the first ``free`` that raises the likelihood most, for each of len(own) words on its own.
-
-    A word's neighbours: ``c`` of class ``near`` before (side 0) or after it
-    (side 1), rows sorted by ``owner``.  g: class bigrams that hold the word in
-    its class ``own``.  Pairs of a word with itself count as pairs with its class.
-    """
-    gain = np.zeros((len(own), free))
-    for lo in range(0, len(owner), 1 << 13):
-        o, j, n = owner[lo : lo + (1 << 13)], near[lo : lo + (1 << 13)], c[lo : lo + (1 << 13), None].astype(float)
-        m = np.where(side[lo : lo + (1 << 13), None] == 0, g[j, :free], g.T[j, :free])
-        m = np.maximum(m - n * (own[o][:, None] == np.arange(free)), 0)
-        at = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-        gain[o[at]] += np.add.reduceat(_xlogx(m + n) - _xlogx(m), at, axis=0)
-    for x, total in ((1, g.sum(axis=1)), (0, g.sum(axis=0))):
-        n = np.bincount(owner, np.where(side == x, c, 0), len(own))[:, None]
-        m = np.maximum(total[:free] - n * (own[:, None] == np.arange(free)), 0)
-        gain -= _xlogx(m + n) - _xlogx(m)
-    best = gain.argmax(axis=1) if len(own) else own
-    stay = np.minimum(own, free - 1)
-    rows = np.arange(len(own))
-    return np.where((own < free) & (gain[rows, best] <= gain[rows, stay] + 1e-9), own, best)
-
-
-def fit(train: DataFrame, *, head_words: int = 1 << 20, clustered: int = 1024, n_classes: int = 48, alpha: float = 20.0, rounds: int = 2) -> tuple[Model, DataFrame]:
-    """(model, table (w, c, cls) of the training words outside its lookup) of the texts in ``train`` (text)."""
-    spark = train.sparkSession
-    sc = spark.sparkContext
-    words = materialize(_coded(train, lambda tokens, first: signed(tokens)).withColumnRenamed("code", "w"), "words")
-    sizes = words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c"))
-    cut, n_head, n_train, n_vocabulary = 1 << 62, 0, 0, 0
-    for r in sizes.toLocalIterator():  # distinct counts: about the square root of the corpus at most
-        n_train, n_vocabulary = n_train + r["c"] * r["n"], n_vocabulary + r["n"]
-        if n_head + r["n"] <= head_words and n_head >= 0:
-            n_head, cut = n_head + r["n"], r["c"]
-        elif n_head >= 0:
-            head_words, n_head = -1, -1
-    cut = max(cut, 2)  # words seen once are rare
-    ends = F.col("w") == F.lit(int(END.astype(np.int64)))
-    low = words.filter((F.col("c") <= 2) & ~ends).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("c") == 1, 1)), F.lit(0)).alias("once")).first()
-    hashes, counts = (x.astype(np.int64) for x in _columns(words.filter((F.col("c") >= cut) | ends), "w", "c"))  # at most head_words rows and the end token
+def _cache(words: DataFrame, cache_words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, counts, least count) of the words seen twice or more down to a count that keeps to ``cache_words``."""
+    level = F.floor(F.log2("c") * 16)  # some hundred levels of counts
+    sizes = words.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).orderBy(F.desc("l")).collect()
+    cut, n = 1 << 62, 0
+    for r in sizes:
+        n += r["n"]
+        if n > cache_words or r["least"] < 2:
+            break
+        cut = r["least"]
+    hashes, counts = (x.astype(np.int64) for x in _columns(words.filter(F.col("c") >= cut), "w", "c"))  # at most cache_words rows
     order = np.lexsort((hashes, -counts))
-    hashes, counts = hashes[order].view(np.uint64), counts[order]
-    k, end, rare, width = min(clustered, len(hashes)), n_classes, n_classes + 1, n_classes + 2
-    start = np.arange(len(hashes)) % max(1, n_classes)
-    start[hashes == END] = end
-    model = Model(Lookup(hashes), counts, start, n_classes, cut, n_train, n_vocabulary)
-    shared = sc.broadcast(model)
-
-    def pair_codes(tokens, first):
-        r = shared.value.lookup.ranks(tokens)
-        r = np.where((r >= 0) & (r < k), r, k).astype(np.int64)
-        p = _previous(r, k)
-        p[first[:-1]] = end_rank
-        return p * (k + 1) + r
-
-    end_rank = int(np.flatnonzero(hashes == END)[0]) if (hashes[:k] == END).any() else k
-    code, c = _columns(_coded(train, pair_codes), "code", "c")  # at most (clustered + 1) squared
-    bigrams = np.zeros((k + 1) * (k + 1))
-    bigrams[code] = c
-    top = np.append(start[:k], rare)
-    movable = np.append(start[:k] != end, False)
-    top = exchange(bigrams.reshape(k + 1, k + 1), top, movable, width, free=n_classes)
-    model.classes = np.full(len(hashes), rare)  # until their first round
-    model.classes[:k] = top[:k]
-    model.classes[hashes == END] = end
+    return hashes[order].view(np.uint64), counts[order], cut
+
+
+def _seed_classes(words: DataFrame, coded: DataFrame, model: Model, seeds: int) -> DataFrame:
+    """(w, cls) of the ``seeds`` most frequent words, by exchange on their bigrams."""
+    spark, width, end, rare = coded.sparkSession, model.n_classes + 2, model.n_classes, model.rare
+    top = words.filter("c > 1").orderBy(F.desc("c"), "w").limit(seeds).collect()
+    k = len(top)
+    number = {int(r["w"]): i for i, r in enumerate(top)}
+    cached = np.array([number.get(int(x), k) for x in signed(model.words[: 4 * seeds])] or [k])  # rank -> place among the seeds
+    shared = spark.sparkContext.broadcast((number, cached))
+
+    def run(it):
+        number, cached = shared.value
+        total = np.zeros((k + 2) * (k + 2), dtype=np.int64)
+        for x in _chunks(it, np.empty(0), 0, 0, True):
+            other = np.array([number.get(int(w), k) for w in x.open_words] if len(number) and len(cached) < 4 * seeds else [k] * len(x.open_words), dtype=np.int64)
+            r = cached[np.clip(x.codes, 0, len(cached) - 1)]
+            r[x.codes >= len(cached)] = k
+            r[x.codes == -1] = k + 1
+            at = x.codes < -1
+            r[at] = other[-2 - x.codes[at]] if len(other) else k
+            total += np.bincount(_previous(r, k + 1) * (k + 2) + r, minlength=len(total))
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "c"])
+
+    rows = coded.withColumn("known", F.array().cast("array<long>")).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    code, c = _columns(rows, "code", "c")  # at most (seeds + 2) squared
     shared.unpersist()
-    release(spark)
+    bigrams = np.zeros((k + 2) * (k + 2))
+    bigrams[code] = c
+    start = np.append(np.arange(k) % max(1, model.n_classes), [rare, end])
+    cls = exchange(bigrams.reshape(k + 2, k + 2), start, np.arange(k + 2) < k, width, free=model.n_classes)
+    return spark.createDataFrame([(int(r["w"]), int(x)) for r, x in zip(top, cls[:k], strict=True)], "w long, cls long")
 
-    # rounds over all head words: counts of all their neighbours' classes, code = rank, side, class;
-    # the rank after the last one stands for all words outside the lookup
-    def context_codes(tokens, first):
-        m = shared.value
-        r = m.lookup.ranks(tokens).astype(np.int64)
-        c = m.class_of(r).astype(np.int64)
-        c[tokens == END] = end
-        r = np.where(r >= 0, r, len(m.counts))
-        p, n = _previous(c, end), np.append(c[1:], end)
-        p[first[:-1]] = end
-        last = tokens == END
-        return np.concatenate([r * 2 * width + p, ((r * 2 + 1) * width + n)[~last]])
-
-    def class_pairs(it):
-        own = np.append(shared.value.classes, rare)
-        g = np.zeros(width * width)
-        for batch in it:
-            code, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            before = code // width % 2 == 0
-            to = np.where(code // (2 * width) < len(own), own[np.minimum(code // (2 * width), len(own) - 1)], rare)
-            g += np.bincount((code % width * width + to)[before], c[before], width * width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(g)], names=["code", "c"])
-
-    def choose(it):
-        codes, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for batch in it:
-            codes.append(batch.column(0).to_numpy(zero_copy_only=False))
-            c.append(batch.column(1).to_numpy(zero_copy_only=False))
-        codes, c = np.concatenate(codes), np.concatenate(c)
-        order = np.argsort(codes)
-        codes, c = codes[order], c[order]
-        rank, owner = np.unique(codes // (2 * width), return_inverse=True)
-        best = best_classes(owner, codes // width % 2, codes % width, c, shared.value.classes[rank], pairs_now, n_classes)
-        yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(best, pa.int64())], names=["rank", "cls"])
-
-    for _ in range(rounds if len(hashes) else 0):
-        shared = sc.broadcast(model)
-        near = materialize(_coded(train, context_codes), "near")
-        code, c = _columns(near.mapInArrow(class_pairs, "code long, c double").groupBy("code").agg(F.sum("c").alias("c")), "code", "c")
-        pairs_now = np.zeros(width * width)
-        pairs_now[code] = c
-        pairs_now = pairs_now.reshape(width, width)
-        rows = near.filter(F.col("code") < len(hashes) * 2 * width).repartition(F.expr(f"code div {2 * width}"))
-        rank, cls = _columns(rows.mapInArrow(choose, "rank long, cls long"), "rank", "cls")  # at most head_words rows
-        shared.unpersist()
-        model.classes = model.classes.copy()
-        model.classes[rank] = cls
-        model.classes[hashes == END] = end
-        drop_scratch(near)
-        release(spark)
 
-    shared = sc.broadcast(model)
+NEAR = "kind byte, w long, own byte, c long, around binary"
 
-    def transition_codes(tokens, first):
-        m = shared.value
-        r = m.lookup.ranks(tokens)
-        c = m.class_of(r).astype(np.int64)
-        c[tokens == END] = end
-        p = _previous(c, end)
-        p[first[:-1]] = end
-        return p * width + c
-
-    code, c = _columns(_coded(train, transition_codes), "code", "c")  # at most (classes) squared
+
+def _near(coded: DataFrame, model: Model, shared) -> DataFrame:
+    """Rows (kind, w, own, c, around) of the training texts under the current classes.
+
+    kind 0: ``c`` class bigrams of code ``w``.  kind 1 (cached) and 2: classes around
+    the word ``w``, now of class ``own``: longs of (side * width + class) << 40 | count.
+    """
+    end, rare, width = model.n_classes, model.rare, model.n_classes + 2
+    span = 2 * width
+
+    def run(it):
+        words, classes = shared.value
+        dense = np.zeros(min(DENSE, len(words)) * span, dtype=np.int64)
+        top = len(dense) // span
+        pairs, tally = np.zeros(width * width, dtype=np.int64), Tally()
+
+        def rows(kind, code, c, names, own):
+            """One row a word from ascending codes."""
+            word = code // span
+            cut = np.flatnonzero(np.diff(word, prepend=-1))
+            data = (((code % span) << 40) | c).astype("<i8")
+            offsets = (np.append(cut, len(word)) * 8).astype("<i4")
+            around = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            which = word[cut]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(cut), kind, np.int8)), pa.array(names[which], pa.int64()), pa.array(own[which].astype(np.int8)), pa.array(np.zeros(len(cut), np.int64)), around],
+                names=["kind", "w", "own", "c", "around"],
+            )
+
+        for x in _chunks(it, classes, end, rare, True):
+            before, after = _previous(x.cls, end), np.append(x.cls[1:], end)
+            pairs += np.bincount(before * width + x.cls, minlength=len(pairs))
+            at = np.flatnonzero((x.codes >= 0) & (x.codes < top))
+            r = x.codes[at].astype(np.int64) * span
+            dense += np.bincount(np.concatenate([r + before[at], r + width + after[at]]), minlength=len(dense))
+            at = np.flatnonzero(x.codes >= top)
+            r = x.codes[at].astype(np.int64) * span
+            if tally.add(np.concatenate([r + before[at], r + width + after[at]])):
+                yield rows(1, *tally.empty(), signed(words), classes)
+            j = -2 - x.codes.astype(np.int64)
+            at = np.flatnonzero(j >= 0)
+            at = at[x.open_counts[j[at]] > 1]
+            if len(at):
+                r = j[at] * span
+                code, c = np.unique(np.concatenate([r + before[at], r + width + after[at]]), return_counts=True)
+                own = np.full(len(x.open_words), rare)
+                own[j[at]] = x.cls[at]
+                yield rows(2, code, c, x.open_words, own)
+        yield rows(1, *tally.empty(), signed(words), classes)
+        code = np.flatnonzero(dense)
+        yield rows(1, code, dense[code], signed(words), classes)
+        code = np.flatnonzero(pairs)
+        empty = pa.array([b""] * len(code), pa.binary())
+        zeros = pa.array(np.zeros(len(code), np.int8))
+        yield pa.RecordBatch.from_arrays([zeros, pa.array(code), zeros, pa.array(pairs[code]), empty], names=["kind", "w", "own", "c", "around"])
+
+    return coded.mapInArrow(run, NEAR)
+
+
+def _class_pairs(near: DataFrame, width: int) -> np.ndarray:
+    code, c = _columns(near.filter("kind = 0").groupBy("w").agg(F.sum("c").alias("c")), "w", "c")  # at most width squared
     pairs = np.zeros(width * width)
     pairs[code] = c
-    pairs = pairs.reshape(width, width)
-    outside = words.filter((F.col("c") < cut) & ~ends).withColumn("cls", F.lit(rare).cast("long"))
-    total = np.bincount(model.classes, weights=counts, minlength=width) if len(counts) else np.zeros(width)
-    if cut > 2:  # words seen twice or more outside the lookup get their class from a table, by joins
-        open_ = materialize(_open(train.withColumn("k", F.monotonically_increasing_id()), shared), "open")
-        tail = open_.join(outside.filter("c > 1").select("w"), "w").groupBy("w").agg(F.collect_list("p").alias("p"), F.collect_list("n").alias("n"))
-
-        def choose_tail(it):
-            for batch in it:
-                for lo in range(0, batch.num_rows, 4096):
-                    part = batch.slice(lo, 4096)
-                    size = part.num_rows
-                    lists = [part.column(i) for i in (1, 2)]
-                    owner = np.concatenate([np.repeat(np.arange(size), np.diff(x.offsets.to_numpy())) for x in lists])
-                    near = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
-                    side = np.repeat([0, 1], [len(x.flatten()) for x in lists])
-                    code, c = np.unique((owner * 2 + side) * width + np.where(near < 0, rare, near), return_counts=True)
-                    best = best_classes(code // (2 * width), code // width % 2, code % width, c, np.full(size, rare), pairs, n_classes)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.int64())], names=["w", "cls"])
-
-        found = tail.mapInArrow(choose_tail, "w long, cls long")
-        outside = materialize(outside.drop("cls").join(found, "w", "left").select("w", "c", F.coalesce("cls", F.lit(rare).cast("long")).alias("cls")), "outside")
-        seen = materialize(_resolved(open_, outside, rare).select("p", "cls", "n"), "seen")
-        # in memory each of these words was taken for a rare one
-        for df, sign in ((open_, -1), (seen.withColumnRenamed("cls", "own"), 1)):
-            own = F.lit(rare) if sign < 0 else F.col("own")
-            p = F.when(F.col("p") < 0, rare).otherwise(F.col("p"))
-            into = df.select((p * width + own).alias("code"))
-            out = df.filter("n >= 0").select((own * width + F.col("n")).alias("code"))
-            code, c = _columns(into.unionAll(out).groupBy(F.col("code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("c")), "code", "c")
-            np.add.at(pairs.reshape(-1), code, sign * c)
-        cls, c = _columns(outside.filter("c > 1").groupBy("cls").agg(F.sum("c").alias("c")), "cls", "c")
-        np.add.at(total, cls, c)
-        drop_scratch(open_, seen)
-    shared.unpersist()
-    release(spark)
-    model.transition = np.log10(_smooth(pairs, alpha))
-    model.total = total
-    model.emission = np.log10(counts / total[model.classes]) if len(counts) else np.zeros(0)
-    # left out, a word seen once is unknown, and one of two occurrences is rare
-    unknown = (low["once"] + 1) / (low["all"] + 2) if low["all"] else 1.0
-    n_rare = int(low["once"])
-    model.unknown_share = float(np.log10(unknown)) if n_rare else 0.0
-    model.rare_share = float(np.log10((1 - unknown) / n_rare)) if n_rare else 0.0
-    return model, outside
+    return pairs.reshape(width, width)
 
 
-def _open(docs: DataFrame, shared) -> DataFrame:
-    """(k, at, w, p, n): tokens outside the lookup, with the classes before and after; -1 is another such token."""
+def _moves(near: DataFrame, pairs: np.ndarray, free: int) -> DataFrame:
+    """(w, cls, cached): the next class of every word with neighbours."""
+    span = 2 * len(pairs)
 
     def run(it):
-        m = shared.value
-        for batch in it:
-            for lo, hi, texts in batches(batch, "text", CHUNK):
-                tokens, first = tokens_of(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _open_tokens(m, tokens, first, batch.column(0).slice(lo, hi - lo).to_numpy())], names=["k", "at", "w", "p", "n"])
+        gains, held = Gains(pairs, free), None
 
-    return docs.select("k", "text").mapInArrow(run, "k long, at int, w long, p short, n short")
+        def moved(w, own, kind, owner, code, c):
+            key, inverse = np.unique(owner * span + code, return_inverse=True)
+            n = np.bincount(inverse, weights=c, minlength=len(key)).astype(np.int64)
+            return key // span, key % span, n
 
+        for batch in it:
+            w, kind, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            if not len(w):
+                continue
+            col = batch.column(3)
+            cut = np.frombuffer(col.buffers()[1], "<i4", col.offset + len(col) + 1)[col.offset :].astype(np.int64) // 8
+            data = np.frombuffer(col.buffers()[2], "<i8", cut[-1])[cut[0] :]
+            sizes = np.diff(cut)
+            code, c = data >> 40, data & ((1 << 40) - 1)
+            if held is not None:
+                w, own, kind = (np.concatenate(([a], b)) for a, b in zip(held[:3], (w, own, kind), strict=True))
+                sizes, code, c = np.concatenate(([len(held[3])], sizes)), np.concatenate([held[3], code]), np.concatenate([held[4], c])
+            new = np.concatenate(([True], w[1:] != w[:-1]))
+            first, number = np.flatnonzero(new), np.cumsum(new) - 1
+            owner, code, c = moved(w, own, kind, np.repeat(number, sizes), code, c)
+            last = owner == len(first) - 1  # its rows may go on in the next batch
+            held = (w[first[-1]], own[first[-1]], kind[first[-1]], code[last], c[last])
+            done = first[:-1]
+            if len(done):
+                keep = ~last
+                best = gains.best(owner[keep], code[keep] // len(pairs), code[keep] % len(pairs), c[keep], own[done].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(w[done]), pa.array(best, pa.int64()), pa.array(kind[done] == 1)], names=["w", "cls", "cached"])
+        if held is not None:
+            best = gains.best(np.zeros(len(held[3]), np.int64), held[3] // len(pairs), held[3] % len(pairs), held[4], np.array([held[1]], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array(best, pa.int64()), pa.array([bool(held[2] == 1)])], names=["w", "cls", "cached"])
+
+    n = buckets(near.sparkSession)
+    rows = near.filter("kind > 0").select("w", "kind", "own", "around").repartition(n, "w").sortWithinPartitions("w")
+    return rows.mapInArrow(run, "w long, cls long, cached boolean")
+
+
+def fit(
+    base: DataFrame, *, cache_words: int = 1 << 20, seeds: int = 1024, n_classes: int = 48, alpha: float = 20.0, rounds: int = 2
+) -> tuple[Model, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Learn from the rows of ``base`` (k, id, learn, text) with ``learn``.
+
+    Gives the model, the coded texts, the rows (w, chunk, j, c) of words outside
+    the cache, the classes (w, cls) of all words seen twice or more, and the
+    scratch tables that hold these.
+    """
+    if rounds < 1 or not 0 < n_classes < 126:
+        raise ValueError("rounds is at least 1, n_classes less than 126")
+    spark = base.sparkSession
+    sc = spark.sparkContext
+    counted = bucketed(count_words(base.filter("learn")), "w", "words")
+    ends = F.col("w") == F.lit(int(END.astype(np.int64)))
+    words = counted.filter(~ends)
+    c = F.col("c")
+    facts = counted.agg(
+        *(F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count(F.lit(1)), F.sum(F.when(ends, c)), F.sum(F.when(~ends & (c <= 2), c)), F.sum(F.when(~ends & (c == 1), 1))))
+    ).first()
+    hashes, counts, cut = _cache(words, cache_words)
+    end, rare, width = n_classes, n_classes + 1, n_classes + 2
+    model = Model(hashes, counts, np.full(len(hashes), rare, dtype=np.uint8), n_classes, cut, facts[0], facts[1], facts[2])
+    lookup = sc.broadcast(Lookup(hashes))
+    coded = bucketed(code_texts(base, lookup), "chunk", "coded", compression="zstd")
+    lookup.unpersist()
+    release(spark)
+    opened = coded.select("chunk", F.posexplode("open").alias("j", "w"))
+    other = bucketed(opened.join(words.filter(c < cut), "w").select("w", "chunk", "j", "c"), "w", "other")
+    of_seeds = _seed_classes(words, coded, model, seeds)
+    classes = bucketed(of_seeds, "w", "classes")
+    rank = np.argsort(hashes.view(np.int64), kind="stable")
+    shown = hashes.view(np.int64)[rank]
+    scratch = [counted, coded, other]
+    for _ in range(rounds + 1):
+        found = classes if "cached" in classes.columns else classes.withColumn("cached", F.lit(True))
+        w, cls = _columns(found.filter("cached"), "w", "cls")  # at most cache_words rows and the seeds
+        at = np.minimum(np.searchsorted(shown, w), max(0, len(shown) - 1))
+        ok = shown[at] == w if len(shown) else np.zeros(len(w), dtype=bool)
+        model.classes = model.classes.copy()
+        model.classes[rank[at[ok]]] = cls[ok]
+        if _ == rounds:
+            break
+        shared = sc.broadcast((hashes, model.classes))
+        lists = other.filter("c > 1").join(classes.select("w", "cls"), "w", "left").withColumn("cls", F.coalesce("cls", F.lit(rare).cast("long")))
+        near = materialize(_near(_with_lists(coded, lists.select("chunk", _packed("c"))), model, shared), "near")
+        pairs = _class_pairs(near, width)
+        moved = bucketed(_moves(near, pairs, n_classes), "w", "classes", dealt=True)
+        shared.unpersist()
+        drop_scratch(near, classes)
+        classes = moved
+        release(spark)
+    model.total = np.zeros(width)
+    cls, n = _columns(classes.join(words, "w").groupBy("cls").agg(F.sum("c").alias("c")), "cls", "c")
+    model.total[cls] = n
+    model.total[end] = model.n_ends
+    # left out, a word seen once is unknown, and one of two occurrences is rare
+    low, once = facts[3], facts[4]
+    unknown = (once + 1) / (low + 2) if low else 1.0
+    model.unknown_share = float(np.log10(unknown)) if once else 0.0
+    model.rare_share = float(np.log10((1 - unknown) / once)) if once else 0.0
+    lists = other.join(classes.select("w", "cls"), "w", "left").withColumn("cls", F.coalesce("cls", F.lit(rare).cast("long")))
+    known = materialize(lists.select("chunk", _packed("c")), "known")
+    final = _with_lists(coded, known)
+    shared = sc.broadcast((hashes, model.classes))
+    model.transition = np.log10(_smooth(_transitions(final, model, shared), alpha))
+    shared.unpersist()
+    return model, final, classes, words, [*scratch, classes, known]
 
-def _open_tokens(m: Model, tokens: np.ndarray, first: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
-    r = m.lookup.ranks(tokens)
-    c = np.where(r >= 0, m.class_of(r), -1).astype(np.int16)
-    c[tokens == END] = m.n_classes
-    p, n = _previous(c, m.n_classes), np.append(c[1:], m.n_classes).astype(np.int16)
-    p[first[:-1]] = m.n_classes
-    rest = np.flatnonzero((r < 0) & (tokens != END))
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[rest]
-    return k[owner], (rest - first[owner]).astype(np.int32), signed(tokens[rest]), p[rest], n[rest]
 
+def _transitions(coded: DataFrame, model: Model, shared) -> np.ndarray:
+    """Class bigrams of the training texts."""
+    end, rare, width = model.n_classes, model.rare, model.n_classes + 2
 
-def _resolved(open_: DataFrame, outside: DataFrame, rare: int) -> DataFrame:
-    """``open_`` with each token's count c (NULL: unknown) and class cls, and the class before it in p."""
-    rows = open_.join(outside, "w", "left").withColumn("cls", F.coalesce("cls", F.lit(rare).cast("long")))
-    return rows.withColumn("p", F.when(F.col("p") >= 0, F.col("p").cast("long")).otherwise(F.lag("cls").over(Window.partitionBy("k").orderBy("at"))))
+    def run(it):
+        pairs = np.zeros(width * width, dtype=np.int64)
+        for x in _chunks(it, shared.value[1], end, rare, True):
+            pairs += np.bincount(_previous(x.cls, end) * width + x.cls, minlength=len(pairs))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int8)), pa.array(np.arange(len(pairs))), pa.array(pairs)], names=["kind", "w", "c"])
+
+    return _class_pairs(coded.mapInArrow(run, "kind byte, w long, c long"), width)
 
 
 def score(docs: DataFrame, train: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -445,51 +629,32 @@ def score(docs: DataFrame, train: Column | None = None, *, id_col: str = "doc_id
     probabilities of the whole text.
     """
     base = keyed(docs, id_col, text_col)
-    learn = base.select(id_of(base).alias(id_col), "text")
-    model, outside = fit(learn if train is None else learn.filter(train), **options)
+    learn = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    rows = base.withColumn(id_col, id_of(base)).select("k", F.col(id_col).alias("id"), learn.alias("learn"), "text")
+    model, coded, _, _, scratch = fit(rows, **options)
     shared = base.sparkSession.sparkContext.broadcast(model)
-    n, v, rare = model.n_train, model.n_vocabulary, model.rare
-    denominator = float(np.log10(n + v + 1))
+    denominator = float(np.log10(model.n_train + model.n_vocabulary + 1))
 
     def run(it):
         m = shared.value
-        for batch in it:
-            for lo, hi, texts in batches(batch, "text", CHUNK):
-                tokens, first = tokens_of(texts)
-                owner = np.repeat(np.arange(len(texts)), np.diff(first))
-                r = m.lookup.ranks(tokens)
-                known = r >= 0
-                closed = known | (tokens == END)
-                c = m.class_of(r).astype(np.int64)
-                c[tokens == END] = m.n_classes
-                p, before = _previous(c, m.n_classes), np.concatenate(([True], closed[:-1]))
-                p[first[:-1]], before[first[:-1]] = m.n_classes, True
-                at = np.where(known, r, 0)
-                unigram = np.where(known, np.log10(m.counts[at] + 1.0), 0.0) if len(m.counts) else np.zeros(len(r))
-                model_part = np.where(closed & before, m.transition[p, c], 0.0) + (np.where(known, m.emission[at], 0.0) if len(m.counts) else 0.0)
-                size = len(texts)
-                n_tokens = np.diff(first)
-                _, place, w, left, right = _open_tokens(m, tokens, first, np.arange(size))
-                per_text = np.concatenate(([0], np.cumsum(np.bincount(owner, ~closed, size).astype(np.int64))))
-                lists = [pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pa.array(x)) for x in (place, w, left, right)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n_tokens, pa.int64()), pa.array(np.bincount(owner, known, size).astype(np.int64)),
-                        pa.array(np.bincount(owner, unigram, size) - n_tokens * denominator), pa.array(np.bincount(owner, model_part, size)), *lists,
-                    ],
-                    names=["k", "id", "n_tokens", "n_head", "base", "model", "at", "w", "p", "n"],
-                )
-
-    schema = "k long, id long, n_tokens long, n_head long, base double, model double, at array<int>, w array<long>, p array<short>, n array<short>"
-    scored = materialize(base.select("k", id_of(base).alias("id"), "text").mapInArrow(run, schema), "scored")
-    open_ = scored.select("k", F.explode(F.arrays_zip("at", "w", "p", "n")).alias("x")).select("k", "x.*")
-    resolved = _resolved(open_, outside, rare)
-    logs, totals = F.lit(model.transition.ravel().tolist()), F.lit(np.log10(np.maximum(model.total, 1)).tolist())
-    value = F.get(logs, (F.col("p") * (rare + 1) + F.col("cls")).cast("int")) + F.when(F.col("n") < 0, 0.0).otherwise(F.get(logs, (F.col("cls") * (rare + 1) + F.col("n")).cast("int")))
-    emission = F.when(F.col("c").isNull(), model.unknown_share).when(F.col("cls") == rare, F.log10("c") + model.rare_share).otherwise(F.log10("c") - F.get(totals, F.col("cls").cast("int")))
-    found = resolved.groupBy("k").agg(F.count("c").alias("n_rare"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base_gain"), F.sum(value + emission).alias("gain"))
-    n_rare, gain, base_gain = (F.coalesce(x, F.lit(0)) for x in ("n_rare", "gain", "base_gain"))
-    return scored.drop("at", "w", "p", "n").join(found, "k", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_head") + n_rare).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + base_gain).alias("base_score"), (F.col("model") + gain).alias("score"),
-    )
+        end, rare = m.n_classes, m.rare
+        for x in _chunks(it, m.classes, end, rare, False):
+            counts = m.counts[np.maximum(x.codes, 0)] if len(m.counts) else np.zeros(len(x.codes), dtype=np.int64)
+            other = x.codes < -1
+            counts = np.where(other, 0, counts)
+            counts[other] = x.open_counts[-2 - x.codes[other]]
+            last = x.codes == -1
+            counts[last] = m.n_ends
+            value = m.transition[_previous(x.cls, end), x.cls] + np.where(last, 0.0, m.emission(counts, x.cls))
+            owner = np.repeat(np.arange(len(x.n)), x.n)
+            sums = [np.bincount(owner, y, len(x.n)) for y in (counts > 0, np.log10(counts + 1.0) - denominator, value)]
+            at = x.rows.schema.get_field_index
+            lists = [x.rows.column(at(c))[0].values for c in ("k", "id")]
+            yield pa.RecordBatch.from_arrays(
+                [lists[1], pa.array(x.n), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(x.n), m.n_train)), pa.array(sums[1]), pa.array(sums[2])],
+                names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    out = materialize(coded.mapInArrow(run, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scored")
+    drop_scratch(*scratch)
+    return out.withColumnRenamed("id", id_col)

@@ -13,8 +13,12 @@ NULL_KEY = -(2**63)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, else a local one for tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The cluster's checkpoint folder.  Only a local session, whose executors share one disk, may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.conf.get("spark.master", "") or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/sparkloom"
 
 
@@ -31,25 +35,35 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, *, dealt: bool = False, **options: str) -> DataFrame:
     """Like ``materialize``, with one sorted file for each hash bucket of ``key``:
-    aggregations and joins on it need no further shuffle."""
+    aggregations and joins on it need no further shuffle.  ``dealt``: ``df`` comes
+    from ``repartition(buckets(spark), key)`` and is sorted by it."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets(spark)
     table = f"loom_{name}_{uuid.uuid4().hex}"
-    rows = df.repartition(n, key).sortWithinPartitions(key)
-    rows.write.bucketBy(n, key).sortBy(key).option("path", f"{scratch_dir(spark)}/{table}").saveAsTable(table)
-    return spark.table(table)
+    rows = df if dealt else df.repartition(n, key).sortWithinPartitions(key)
+    path = f"{scratch_dir(spark)}/{table}"
+    rows.write.bucketBy(n, key).sortBy(key).options(**options).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._scratch, out._table = path, table
+    return out
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def drop_scratch(*tables: DataFrame) -> None:
-    """Delete tables written by ``materialize`` that nothing reads any more."""
+    """Delete tables written by ``materialize`` or ``bucketed`` that nothing reads any more."""
     for t in tables:
         path = getattr(t, "_scratch", None)
         if path:
-            jvm, sc = t.sparkSession._jvm, t.sparkSession._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
+            spark = t.sparkSession
+            if getattr(t, "_table", None):
+                spark.sql(f"DROP TABLE IF EXISTS {t._table}")
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -90,7 +104,6 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 
-
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
     """(k long, text string) with a unique, never-NULL k that orders like (id, text), NULL id first.
 

@@ -246,31 +246,6 @@ def test_html_deep_and_frame(spark):
 # -- language model --------------------------------------------------------
 
 
-def test_base_scores_and_distribution(spark):
-    rows = corpus(13)
-    docs = spark.createDataFrame(rows, SCHEMA)
-    words = {d: [*plain_words(lower(t or "")), None] for d, t, *_ in rows}
-    c = Counter(x for d, w in words.items() if crc(d) % 7 != 2 for x in w)
-    n = sum(c.values())
-    for head in (1 << 20, 8):  # all words in the head, or most of them behind the join
-        for r in brown.score(docs, fold("doc_id", 7) != 2, head_words=head, clustered=6, n_classes=3).collect():
-            w = words[r.doc_id]
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-            assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w), rel_tol=1e-9)
-            assert math.isfinite(r.score) and r.score <= 0
-
-
-def test_model_sums_to_one(spark):
-    docs = spark.createDataFrame(corpus(14), SCHEMA).select("text")
-    model, table = brown.fit(docs.fillna(""), head_words=1 << 20, clustered=8, n_classes=4)
-    assert np.allclose((10**model.transition).sum(axis=1), 1)
-    mass = np.bincount(model.classes, 10**model.emission, minlength=model.n_classes + 2)
-    rare = table.filter(F.col("c") < model.cut).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    mass[model.rare] = rare * 10**model.rare_share + 10**model.unknown_share if rare else 1
-    used = np.bincount(model.classes, minlength=model.n_classes + 2) > 0
-    assert np.allclose(mass[used], 1) and np.isclose(mass[model.rare], 1)
-
-
 def test_exchange_finds_two_groups():
     b = np.zeros((7, 7))
     b[np.ix_([0, 2, 4], [1, 3, 5])] = 10  # evens are followed by odds
@@ -279,14 +254,9 @@ def test_exchange_finds_two_groups():
     assert got[0] == got[2] == got[4] != got[1] == got[3] == got[5]
 
 
-def test_lm_held_out_and_empty(spark):
-    got = queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").collect()
-    held = [r for r in got if r.held_out]
+def test_lm_held_out(spark):
+    held = [r for r in queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    docs = spark.createDataFrame([(None, None, "", 0, ""), (1, "a b", "", 0, ""), (1, "a b", "", 0, "")], SCHEMA)
-    out = brown.score(docs, F.lit(False)).collect()
-    assert [r.n_known for r in out] == [0, 0, 0] and all(math.isfinite(r.score) for r in out)
-    assert brown.score(docs.limit(0)).count() == 0
 
 
 # -- pipeline --------------------------------------------------------------
