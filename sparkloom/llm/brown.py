@@ -539,7 +539,7 @@ def _moves(near: DataFrame, pairs: np.ndarray, free: int) -> DataFrame:
 
 
 def fit(
-    base: DataFrame, *, cache_words: int = 1 << 20, seeds: int = 1024, n_classes: int = 48, alpha: float = 20.0, rounds: int = 2
+    base: DataFrame, *, cache_words: int = 1 << 20, seeds: int = 1024, n_classes: int = 48, alpha: float = 20.0, rounds: int = 3
 ) -> tuple[Model, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """Learn from the rows of ``base`` (k, id, learn, text) with ``learn``.
 

@@ -4,18 +4,26 @@ A window is ``window`` consecutive words.  From every window one fingerprint
 is selected, the smallest hash among its ``gram``-word pieces: equal windows
 select equal fingerprints, and consecutive windows mostly select the same one,
 so about one fingerprint for seven words is stored.  The fingerprints of each
-batch of documents form a sorted immutable run, bucketed by fingerprint; runs
-are merge-joined with the new batch without a shuffle.  Fingerprints found
-more than once only nominate windows: their 128-bit hashes of all words verify
-them, and the earliest place of each window content decides.  Runs are
-compacted in tiers, and a run that a longer one covers is ignored, so a crash
-leaves a valid index.
-
-Nothing is enumerated in pairs.  A window content shared by a third of all
+batch of documents form an immutable run, sorted and bucketed by fingerprint
+with one number of buckets for the whole index; a new batch's run is
+merge-joined with every earlier run bucket by bucket, so history is read but
+never shuffled.  Fingerprints found more than once only nominate windows: their
+128-bit hashes of all words verify them, and the earliest place of each window
+content decides.  Runs are compacted in tiers.
+
+A batch has a name and takes effect by a commit file that is written last.
+What a lost job left behind is discarded by the next one; adding a committed
+batch again gives its stored result.  A run that a longer one covers is
+ignored, so a crash during compaction leaves a valid index.
+
+Hot groups: a fingerprint that a task meets very often is dealt over all
+buckets by a hash of the document (a salt), and listed as hot, so that later
+batches look it up in all of them.  A window content shared by a third of all
 documents is pre-aggregated to its earliest place before the shuffle; a
 document receives the list of its windows that come first, and all its other
-nominated windows are repetitions.  Exact copies of a whole text are found by
-digest first and not nominated again.
+nominated windows are repetitions.  Exact copies of an earlier text are found
+by digest (one row a text, pre-aggregated) and are not fingerprinted.  Nothing
+is enumerated in pairs.
 
 Defined cases: NULL and empty texts have no words; documents of fewer words
 than a window lose nothing; rows with equal or NULL ids are ordered by (id,
@@ -27,16 +35,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.llm.common import Places, exact_copies, id_of, keyed, materialize, scratch_dir
+from sparkloom.llm.common import Places, bucketed, buckets, drop_scratch, id_of, keyed, materialize, scratch_dir
 from sparkloom.llm.textops import BASES, Words, anchors, batches, grams, mix, signed
 
 WINDOW, GRAM = 20, 8
+#: A fingerprint is hot in a task beyond this many documents and HOT_FACTOR times the mean of all.
+HOT, HOT_FACTOR, HOT_CELLS = 64, 16, 1 << 18
 
 
 class Selected:
@@ -67,10 +80,14 @@ def _nominated(s: Selected, shared: list) -> np.ndarray:
     return np.isin(signed(s.gram[s.anchor]), known)
 
 
-def fingerprints(base: DataFrame, window: int, gram: int) -> DataFrame:
-    """(fp, k, n): the selected fingerprints of every document and how many places select each."""
+def fingerprints(base: DataFrame, window: int, gram: int, salts: int, hot_from: int = HOT) -> DataFrame:
+    """(fp, k, n, salt): the selected fingerprints of every document and how many places select each.
+
+    salt: -1, or for fingerprints that this task has met often a number below ``salts`` by the document.
+    """
 
     def run(it):
+        seen, total = np.zeros(HOT_CELLS, dtype=np.int64), 0
         for batch in it:
             k = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, texts in batches(batch, "text"):
@@ -81,9 +98,15 @@ def fingerprints(base: DataFrame, window: int, gram: int) -> DataFrame:
                 fp, owner = fp[order], owner[order]
                 cut = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])))) if len(fp) else order
                 n = np.diff(np.append(cut, len(fp)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[cut]), pa.array(k[lo + owner[cut]]), pa.array(n.astype(np.int32))], names=["fp", "k", "n"])
+                fp, key = fp[cut], k[lo + owner[cut]]
+                cell = fp & (HOT_CELLS - 1)
+                seen += np.bincount(cell, minlength=HOT_CELLS)
+                total += len(fp)
+                often = seen[cell] > hot_from + HOT_FACTOR * total // HOT_CELLS
+                salt = np.where(often, (mix(key.astype(np.uint64)) % np.uint64(salts)).astype(np.int64), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(key), pa.array(n.astype(np.int32)), pa.array(salt.astype(np.int32))], names=["fp", "k", "n", "salt"])
 
-    return base.select("k", "text").mapInArrow(run, "fp long, k long, n int")
+    return base.select("k", "text").mapInArrow(run, "fp long, k long, n int, salt int")
 
 
 def _numpy_lists(column: pa.Array) -> list:
@@ -117,103 +140,210 @@ def window_hashes(nominated: DataFrame, window: int, gram: int) -> DataFrame:
     return nominated.select("k", "text", "fps").mapInArrow(run, "h1 long, h2 long, k long, at int")
 
 
+def _part(fp: str, salt: str) -> Column:
+    """What a fingerprint's rows are bucketed by."""
+    return F.when(F.col(salt) < 0, F.col(fp)).otherwise(F.xxhash64(fp, salt))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 class FingerprintIndex:
-    """Sorted runs of (fp, k, n) below ``path``, each covering batches lo to hi.
+    """An index below ``path``: runs of batches lo to hi, each batch's texts, results and commit files.
 
-    With ``keep_texts`` the batches' texts are stored beside them, so that
-    later batches can be verified against them.
+    ``run-lo-hi-n``: (part, hot, seq, k, n) in n buckets by part, the
+    fingerprint itself or, of a hot one (named in ``hot``), a hash of it and a
+    salt.  ``digests-lo-hi-n``: (digest) of all distinct texts.  ``texts-seq-n``:
+    a batch's texts in buckets by k.  ``result-seq``: its removals.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, window: int = WINDOW, gram: int = GRAM, fanout: int = 4, keep_texts: bool = True):
-        self.spark, self.path, self.window, self.gram, self.fanout, self.keep_texts = spark, path.rstrip("/"), window, gram, fanout, keep_texts
+    COLUMNS = {"run": ("part", "part BIGINT, hot BIGINT, seq INT, k BIGINT, n INT"), "digests": ("digest", "digest BINARY"), "texts": ("k", "k BIGINT, text STRING")}
+
+    def __init__(self, spark: SparkSession, path: str, *, window: int = WINDOW, gram: int = GRAM, fanout: int = 4, hot_from: int = HOT):
+        self.spark, self.path, self.window, self.gram, self.fanout, self.hot_from = spark, path.rstrip("/"), window, gram, fanout, hot_from
+        self._tables: set[str] = set()
 
     # -- files -------------------------------------------------------------
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _fs(self, name: str = ""):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _names(self, pattern: str) -> list[re.Match]:
         p, fs = self._fs()
-        if not fs.exists(p):
-            return []
-        done = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
-        names = [x.getName() for x in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
         return [m for x in names if (m := re.fullmatch(pattern, x))]
 
-    def runs(self) -> list[tuple[int, int, int]]:
-        """(lo, hi, buckets) of the runs that no other run covers."""
-        every = sorted({tuple(map(int, m.groups())) for m in self._names(r"run-(\d+)-(\d+)-(\d+)")})
+    def _delete(self, name: str) -> None:
+        if (table := self._name(name)) in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self._tables.discard(table)
+        p, fs = self._fs(name)
+        fs.delete(p, True)
+
+    def commits(self) -> dict[str, int]:
+        """The number of every committed batch by its name."""
+        out = {}
+        for m in self._names(r"commit-(\d+)"):
+            p, fs = self._fs(m[0])
+            stream = fs.open(p)
+            try:
+                out[bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()] = int(m[1])
+            finally:
+                stream.close()
+        return out
+
+    def _commit(self, seq: int, batch: str) -> None:
+        p, fs = self._fs(f"commit-{seq}")
+        stream = fs.create(p, False)  # fails if another job was first
+        stream.write(bytearray(batch.encode()))
+        stream.close()
+
+    def runs(self, kind: str = "run") -> list[tuple[int, int, int]]:
+        """(lo, hi, buckets) of the complete runs of committed batches that no other run covers."""
+        last = len(self.commits()) - 1
+        every = sorted({tuple(map(int, m.groups())) for m in self._names(kind + r"-(\d+)-(\d+)-(\d+)") if self._fs(f"{m[0]}/_SUCCESS")[1].exists(self._fs(f"{m[0]}/_SUCCESS")[0])})
+        every = [r for r in every if r[1] <= last]
         return [r for r in every if not any(o[0] <= r[0] and r[1] <= o[1] and (o[0], o[1]) != (r[0], r[1]) for o in every)]
 
-    def _table(self, run: tuple[int, int, int]) -> DataFrame:
-        name = "loom_" + hashlib.md5(f"{self.path}{run}".encode()).hexdigest()
-        where = f"{self.path}/run-{run[0]}-{run[1]}-{run[2]}"
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, k BIGINT, n INT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {run[2]} BUCKETS LOCATION '{where}'"
-        )
-        return self.spark.table(name)
-
-    def _write_run(self, rows: DataFrame, lo: int, hi: int) -> tuple[int, int, int]:
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        run = (lo, hi, n)
-        name = "loom_" + hashlib.md5(f"{self.path}{run}".encode()).hexdigest()
-        where = f"{self.path}/run-{lo}-{hi}-{n}"
-        one_file_a_bucket = rows.repartition(n, "fp").sortWithinPartitions("fp")
-        one_file_a_bucket.write.bucketBy(n, "fp").sortBy("fp").option("path", where).mode("overwrite").saveAsTable(name)
-        return run
+    def buckets(self) -> int:
+        """Of all tables of the index: as many as its first batch had shuffle partitions."""
+        found = self._names(r"run-\d+-\d+-(\d+)")
+        return int(found[0][1]) if found else buckets(self.spark)
+
+    def _name(self, name: str) -> str:
+        return "loom_" + hashlib.md5(f"{self.path}/{name}".encode()).hexdigest()
+
+    def _table(self, name: str) -> DataFrame:
+        kind, n = name.split("-")[0], name.split("-")[-1]
+        key, columns = self.COLUMNS[kind]
+        table = self._name(name)
+        if table not in self._tables:
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{self.path}/{name}'"
+            )
+            self._tables.add(table)
+        return self.spark.table(table)
+
+    def _write(self, name: str, rows: DataFrame) -> DataFrame:
+        n, key = int(name.split("-")[-1]), self.COLUMNS[name.split("-")[0]][0]
+        self._delete(name)
+        one_file_a_bucket = rows.repartition(n, key).sortWithinPartitions(key)
+        one_file_a_bucket.write.bucketBy(n, key).sortBy(key).option("path", f"{self.path}/{name}").mode("overwrite").saveAsTable(self._name(name))
+        self._tables.add(self._name(name))
+        return self.spark.table(self._name(name))
+
+    def close(self) -> None:
+        """Forget the session's tables; the files stay."""
+        for t in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self._tables.clear()
+
+    def discard(self) -> None:
+        """Delete everything but the results."""
+        for m in self._names(r"(run|digests|texts|hot|commit)-.*"):
+            self._delete(m[0])
+        self.close()
 
     # -- operations --------------------------------------------------------
-    def add(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, extra: str | None = None) -> DataFrame:
+    def add(
+        self, docs: DataFrame, *, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, extra: str | None = None, compact: bool = True
+    ) -> DataFrame:
         """Removals in a new batch: id, n_words, n_removed, kept_sha256 (kept words
         joined by one space) and, if asked for, the text with the removed words cut out.
         A column named ``extra`` is carried through.
 
-        Earlier batches precede this one; within it (id, text) decides.
+        Earlier batches precede this one; within it (id, text) decides.  ``batch``
+        names it: a job that is run again gives the same name and gets the same rows.
         """
-        base = keyed(docs, id_col, text_col, extra)
-        old = self.runs()
-        seq = max([r[1] for r in old], default=-1) + 1
-        own = self._table(self._write_run(fingerprints(base, self.window, self.gram), seq, seq))
-        history = None
-        for r in old:
-            history = self._table(r) if history is None else history.unionByName(self._table(r))
-        # a fingerprint is shared if this batch holds it twice, or once beside history
-        counts = own.groupBy("fp").agg(F.sum("n").alias("n"))
-        shared = counts.filter("n > 1").select("fp")
-        if history is not None:
-            shared = shared.unionByName(counts.select("fp").join(history.select("fp"), "fp", "left_semi")).distinct()
-        lists = own.join(shared, "fp", "left_semi").groupBy("k").agg(F.collect_list("fp").alias("fps"))  # bounded by the document
-        copies = exact_copies(base).filter("first < k").select("k", F.lit(True).alias("copy"))
-        meta = lists.join(copies, "k", "full_outer")
-        if history is not None or self.keep_texts:
-            meta = materialize(meta, "nominees")
+        done = self.commits()
+        batch = batch or uuid.uuid4().hex
+        if batch in done:
+            return self.spark.read.parquet(f"{self.path}/result-{done[batch]}")
+        seq = len(done)
+        for m in [*self._names(r"(?:run|digests|hot)-\d+-(\d+).*"), *self._names(r"(?:texts|result)-(\d+).*")]:
+            if int(m[1]) >= seq:  # a job that did not commit
+                self._delete(m[0])
+        nb = self.buckets()
+        old, scratch = self.runs(), []
+        keys = keyed(docs, id_col, text_col, extra)
+        base = self._write(f"texts-{seq}-{nb}", keys)
+        copies, digests = self._copies(base, seq, nb)
+        fresh = base.join(copies, "k", "left_anti")
+        rows = fingerprints(fresh, self.window, self.gram, nb, self.hot_from)
+        rows = rows.select(_part("fp", "salt").alias("part"), F.when(F.col("salt") >= 0, F.col("fp")).alias("hot"), F.lit(seq).alias("seq"), "k", "n")
+        own = self._write(f"run-{seq}-{seq}-{nb}", rows)
+        hot = own.filter("hot IS NOT NULL").select("hot").distinct()
+        hot.write.mode("overwrite").parquet(f"{self.path}/hot-{seq}-{seq}")
+        shared = self._shared(own, seq, old)
+        lists = own.filter("hot IS NULL").join(shared, "part", "left_semi").select("k", F.col("part").alias("fp")).unionByName(own.filter("hot IS NOT NULL").select("k", F.col("hot").alias("fp")))
+        lists = lists.groupBy("k").agg(F.collect_list("fp").alias("fps"))  # bounded by the document
+        meta = materialize(lists.join(copies.withColumn("copy", F.lit(True)), "k", "full_outer"), "nominees")
         places = Places(base)
-        nominated = base.join(meta, "k").filter("copy IS NULL AND fps IS NOT NULL")
-        windows = window_hashes(nominated, self.window, self.gram).withColumn("new", places.code("k", "at"))
+        windows = window_hashes(base.join(meta.filter("copy IS NULL"), "k"), self.window, self.gram).withColumn("new", places.code("k", "at"))
         firsts = windows.groupBy("h1", "h2").agg(F.min("new").alias("new"))
-        if history is not None:
-            firsts = firsts.join(self._history_windows(meta, old), ["h1", "h2"], "left_anti")
+        if old:
+            history, held = self._history_windows(shared, old)
+            scratch += held
+            firsts = firsts.join(history, ["h1", "h2"], "left_anti")
         firsts = firsts.select(places.k("new").alias("k"), places.at("new").alias("at")).groupBy("k").agg(F.collect_list("at").alias("firsts"))
         rows = base.join(meta, "k", "left").join(firsts, "k", "left").select(id_of(base).alias("id"), "text", "fps", "copy", "firsts", *([extra] if extra else []))
-        out = self._remove(rows, id_col, with_text, extra)
-        if self.keep_texts:
-            out = materialize(out, "substring-removals")
-            base.select("k", "text").write.mode("overwrite").parquet(f"{self.path}/texts-{seq}")
+        self._remove(rows, id_col, with_text, extra).write.mode("overwrite").parquet(f"{self.path}/result-{seq}")
+        self._commit(seq, batch)
+        drop_scratch(meta, shared, copies, digests, *scratch)
+        drop_scratch(keys)
+        if compact:
             self.compact()
-        return out
+        return self.spark.read.parquet(f"{self.path}/result-{seq}")
+
+    def _copies(self, base: DataFrame, seq: int, nb: int) -> tuple[DataFrame, DataFrame]:
+        """((k) of the texts that are there before, whole, in this batch or an earlier one; a scratch table)."""
+        digests = materialize(base.select("k", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
+        first = digests.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies"))
+        old = self.runs("digests")
+        own = self._write(f"digests-{seq}-{seq}-{nb}", first.select("digest"))
+        seen = [own.join(self._table(f"digests-{a}-{b}-{c}"), "digest", "left_semi").select("digest", F.lit(None).cast("long").alias("first")) for a, b, c in old]
+        # written out, so that the join reads both sides plainly and AQE can split a digest of very many copies
+        again = materialize(_union([first.filter("copies > 1").select("digest", "first"), *seen]), "again")
+        copies = digests.join(again, "digest").filter("first IS NULL OR first < k").select("k").distinct()
+        out = materialize(copies, "copies")
+        drop_scratch(again)
+        return out, digests
+
+    def _shared(self, own: DataFrame, seq: int, old: list[tuple[int, int, int]]) -> DataFrame:
+        """(part) fingerprints of this batch found twice in it, or once beside history; bucketed."""
+        counts = own.groupBy("part").agg(F.sum("n").alias("n"), F.max("hot").alias("hot"))
+        once = counts.filter("n = 1 AND hot IS NULL").select("part")
+        found = [counts.filter("n > 1 AND hot IS NULL").select("part"), self._hot(seq, seq)]
+        for r in old:
+            found.append(self._beside(once, r))
+            found.append(once.join(self._hot(r[0], r[1]), "part", "left_semi"))
+        return bucketed(_union(found), "part", "shared")
 
-    def _history_windows(self, meta: DataFrame, runs: list[tuple[int, int, int]]) -> DataFrame:
+    def _beside(self, parts: DataFrame, run: tuple[int, int, int]) -> DataFrame:
+        """Those of ``parts`` (bucketed) that an earlier run holds: a merge join of buckets."""
+        return parts.join(self._table("run-{}-{}-{}".format(*run)).select("part").hint("merge"), "part", "left_semi")
+
+    def _hot(self, lo: int, hi: int) -> DataFrame:
+        """(part): the hot fingerprints of a run; few, as each occurs very often."""
+        where = [f"{self.path}/{m[0]}" for m in self._names(r"hot-(\d+)-(\d+)") if lo <= int(m[1]) and int(m[2]) <= hi]
+        return self.spark.read.schema("hot long").parquet(*where).select(F.col("hot").alias("part")).distinct()
+
+    def _history_windows(self, shared: DataFrame, runs: list[tuple[int, int, int]]) -> tuple[DataFrame, list[DataFrame]]:
         """(h1, h2) of the windows that earlier batches' documents hold around this batch's shared fingerprints."""
-        shared = meta.select(F.explode("fps").alias("fp")).distinct()
-        out = None
-        for m in self._names(r"texts-(\d+)"):
-            seq = int(m[1])
-            run = next(r for r in runs if r[0] <= seq <= r[1])
-            lists = self._table(run).join(shared, "fp", "left_semi").groupBy("k").agg(F.collect_list("fp").alias("fps"))
-            old = self.spark.read.schema("k long, text string").parquet(f"{self.path}/texts-{seq}").join(lists, "k")
-            rows = window_hashes(old, self.window, self.gram).select("h1", "h2")
-            out = rows if out is None else out.unionByName(rows)
-        return out.distinct()
+        held, rows = [], []
+        texts = {int(m[1]): m[0] for m in self._names(r"texts-(\d+)-\d+")}
+        for lo, hi, nb in runs:
+            run = self._table(f"run-{lo}-{hi}-{nb}")
+            plain = run.filter("hot IS NULL").join(shared, "part", "left_semi").select("seq", "k", F.col("part").alias("fp"))
+            salted = self._hot(lo, hi).join(shared, "part", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("salt"), F.col("part").alias("fp"))
+            salted = run.filter("hot IS NOT NULL").join(salted.select(_part("fp", "salt").alias("part")), "part", "left_semi").select("seq", "k", F.col("hot").alias("fp"))
+            lists = materialize(plain.unionByName(salted).groupBy("seq", "k").agg(F.collect_list("fp").alias("fps")), "history")
+            held.append(lists)
+            for seq in range(lo, hi + 1):
+                old = self._table(texts[seq]).select("k", "text").join(lists.filter(F.col("seq") == seq), "k")
+                rows.append(window_hashes(old, self.window, self.gram).select("h1", "h2"))
+        return _union(rows).distinct(), held
 
     def compact(self) -> None:
         """Merge the newest runs once ``fanout`` of them span alike numbers of batches."""
@@ -221,13 +351,11 @@ class FingerprintIndex:
             tail = runs[-self.fanout :]
             if tail[0][1] - tail[0][0] > tail[-1][1] - tail[-1][0]:
                 return
-            rows = None
-            for r in tail:
-                rows = self._table(r) if rows is None else rows.unionByName(self._table(r))
-            self._write_run(rows, tail[0][0], tail[-1][1])
-            p, fs = self._fs()
-            for r in tail:  # covered by the new run from here on
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p, f"run-{r[0]}-{r[1]}-{r[2]}"), True)
+            for kind in ("digests", "run"):
+                self._write(f"{kind}-{tail[0][0]}-{tail[-1][1]}-{tail[0][2]}", _union([self._table("{}-{}-{}-{}".format(kind, *r)) for r in tail]))
+            for r in tail:  # covered by the new runs from here on
+                for kind in ("digests", "run"):
+                    self._delete("{}-{}-{}-{}".format(kind, *r))
 
     def _remove(self, rows: DataFrame, id_col: str, with_text: bool, extra: str | None = None) -> DataFrame:
         window, gram = self.window, self.gram
@@ -241,11 +369,16 @@ class FingerprintIndex:
                 for lo, hi, texts in batches(batch, "text"):
                     done = _removed_rows(texts, ids.slice(lo, hi - lo), fps[lo:hi], copy[lo:hi], firsts[lo:hi], window, gram, with_text)
                     if extra:
-                        done = done.append_column(extra, batch.column(5).slice(lo, hi - lo))
+                        done = done.append_column("_extra", batch.column(5).slice(lo, hi - lo))
                     yield done
 
-        schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + (f", {extra} {rows.schema[extra].dataType.simpleString()}" if extra else "")
-        return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        schema = T.StructType().add("id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+        if with_text:
+            schema.add("text", "string")
+        if extra:
+            schema.add("_extra", rows.schema[extra].dataType)
+        out = rows.mapInArrow(run, schema)
+        return out.withColumnsRenamed({"id": id_col} | ({"_extra": extra} if extra else {}))
 
 
 def _removed_rows(texts, ids, fps, copy, firsts, window: int, gram: int, with_text: bool) -> pa.RecordBatch:
@@ -286,21 +419,34 @@ def _removed_rows(texts, ids, fps, copy, firsts, window: int, gram: int, with_te
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def deduplicate(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, extra: str | None = None) -> DataFrame:
-    """One-shot form: all of ``docs`` as the first batch of a new index."""
-    import uuid
-
+def deduplicate(
+    docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, extra: str | None = None, parts: int = 3,
+) -> DataFrame:
+    """All of ``docs`` through a new index, in ``parts`` batches of consecutive ids (ranges from quantiles, NULL first)."""
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}", window=window, gram=gram, keep_texts=False)
-    return index.add(docs, id_col=id_col, text_col=text_col, with_text=with_text, extra=extra)
+    index = FingerprintIndex(spark, f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}", window=window, gram=gram, fanout=2)
+    key = F.col(id_col).cast("long")
+    bounds = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)])).first()[0] if parts > 1 else []
+    bounds = sorted(set(bounds or []))
+    out = []
+    for i in range(len(bounds) + 1):
+        inside = F.lit(True)
+        if i:
+            inside &= key >= bounds[i - 1]
+        if i < len(bounds):
+            inside &= key < bounds[i] if i else (key < bounds[i]) | key.isNull()
+        part = docs.filter(inside) if bounds else docs
+        out.append(index.add(part, batch=str(i), id_col=id_col, text_col=text_col, with_text=with_text, extra=extra, compact=i + 1 < len(bounds)))
+    index.discard()
+    return _union(out)
 
 
 def cut_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``docs`` with the repeated passages cut out of their texts; a row whose words all go is dropped.
 
     The columns stay those of ``docs``; ``size_col``, where present, becomes
-    the length of the new text.  Where ids repeat, rows of one id share one
-    representative: the first of equal (id, text) rows keeps the text.
+    the length of the new text.  Rows with equal ids are separate documents:
+    the first of equal (id, text) rows keeps the text.
     """
     schema = docs.schema
     others = [f.name for f in schema if f.name not in (id_col, text_col, size_col)]

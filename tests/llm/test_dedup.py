@@ -8,6 +8,7 @@ import pytest
 from helpers import SCHEMA, corpus, lower, plain_words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkloom.llm import jaccard, substrings, suffix
 from sparkloom.llm.components import components
@@ -91,16 +92,58 @@ def test_substring_windows(spark):
         assert hashlib.sha256(" ".join(plain_words(r.text)).encode()).hexdigest() == r.kept_sha256
 
 
-def test_substring_index_in_batches(spark, tmp_path):
+def removals(df):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
+
+
+@pytest.mark.parametrize("hot_from", [substrings.HOT, 1])
+def test_substring_index_in_batches(spark, tmp_path, hot_from):
+    """Batches after restarts, compacted; with hot_from 1 many fingerprints are salted."""
     rows = corpus(6)
-    want = brute_windows(rows, 20)
-    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), fanout=2)
     got = {}
-    for lo in range(0, len(rows), 17):
-        again = substrings.FingerprintIndex(spark, str(tmp_path / "index"), fanout=2)  # as after a restart
-        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in again.add(spark.createDataFrame(rows[lo : lo + 17], SCHEMA)).collect()}
-    assert got == want
-    assert len(index.runs()) == 1  # compacted
+    for i, lo in enumerate(range(0, len(rows), 17)):
+        index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), fanout=2, hot_from=hot_from)  # as after a restart
+        got |= removals(index.add(spark.createDataFrame(rows[lo : lo + 17], SCHEMA), batch=str(i)))
+        if hot_from == 1:
+            assert any(index._table("run-{}-{}-{}".format(*r)).filter("hot IS NOT NULL").limit(1).count() for r in index.runs())
+        index.close()
+    assert got == brute_windows(rows, 20)
+    assert len(index.runs()) == len(index.runs("digests")) == 1  # compacted
+
+
+def test_substring_batch_again(spark, tmp_path):
+    """A committed batch gives its rows again; one that was lost before its commit leaves nothing."""
+    rows = [r for r in corpus(6) if r[1]]
+    path, texts = str(tmp_path / "index"), [spark.createDataFrame(rows[:20], SCHEMA), spark.createDataFrame(rows[20:], SCHEMA)]
+    index = substrings.FingerprintIndex(spark, path)
+    want = [removals(index.add(texts[0], batch="a"))]
+
+    class Lost(substrings.FingerprintIndex):
+        def _commit(self, seq, batch):
+            raise OSError("lost")
+
+    with pytest.raises(OSError):
+        Lost(spark, path).add(texts[1], batch="b")
+    assert index.commits() == {"a": 0} and len(index.runs()) == 1
+    again = substrings.FingerprintIndex(spark, path)
+    want.append(removals(again.add(texts[1], batch="b")))
+    assert want[0] | want[1] == brute_windows(rows, 20)
+    assert [removals(again.add(x, batch=n)) for n, x in zip("ab", texts)] == want and len(again.commits()) == 2
+    again.discard()
+    assert not again.commits()
+
+
+def test_history_is_joined_where_it_lies(spark, tmp_path):
+    """The merge join of a batch with an earlier run reads both in their buckets."""
+    rows = corpus(6)
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
+    for i in (0, 1):
+        index.add(spark.createDataFrame(rows[i * 30 : i * 30 + 30], SCHEMA), batch=str(i))
+    first, second = index.runs()
+    parts = index._table("run-{}-{}-{}".format(*second)).groupBy("part").agg(F.sum("n").alias("n")).filter("n = 1").select("part")
+    plan = index._beside(parts, first)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.discard()
 
 
 def test_substring_repeated_rows_and_columns(spark):
@@ -110,6 +153,8 @@ def test_substring_repeated_rows_and_columns(spark):
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.text, r.lang) for r in out.collect()), key=repr) == sorted([(None, text, "x"), (2, "", None)], key=repr)
     assert substrings.deduplicate(docs.limit(0)).count() == 0
+    odd = docs.select("doc_id", "text", F.col("lang").alias("lang-code"), F.col("k").alias("n chars"), F.lit("x").alias("_rest"), F.lit(1).alias("fps"))
+    assert substrings.cut_repeats(odd, window=20).columns == odd.columns and substrings.cut_repeats(odd, window=20).count() == 2
 
 
 def brute_bytes(rows, depth, keep):
