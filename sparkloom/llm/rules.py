@@ -40,8 +40,10 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
     n_repeat_words sorts (hash of a 3-word window, position) pairs packed in
     one long: the low bits hold the position, as many as the text's number of
-    words needs, the rest the hash; windows of equal hash become neighbours,
-    so the work is n log n in the words of a text and nothing is exploded.
+    words needs, the rest the hash; windows of equal hash become neighbours.
+    Those that have such a neighbour are then sorted by their three words
+    themselves, so equal content decides and a hash only nominates.  The work
+    is n log n in the words of a text and nothing is exploded.
     """
     d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bare = F.btrim("text", F.lit(SPACES))
@@ -53,7 +55,10 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     d = d.withColumn("s", F.expr(f"CASE WHEN n_words < 3 THEN array() ELSE sort_array(transform(sequence(0, int(n_words) - 3), i -> {window})) END"))
     same = "(x >> bits) = (get(s, i + {0}) >> bits)"
     d = d.withColumn("s", F.expr(f"filter(s, (x, i) -> (i > 0 AND {same.format(-1)}) OR coalesce({same.format(1)}, false))"))
-    d = d.withColumn("s", F.expr("sort_array(transform(s, x -> x & (shiftleft(1L, bits) - 1)))"))
+    spelt = "named_struct('x', concat_ws(' ', get(w, p), get(w, p + 1), get(w, p + 2)), 'p', p)"
+    d = d.withColumn("s", F.expr(f"sort_array(transform(transform(s, x -> int(x & (shiftleft(1L, bits) - 1))), p -> {spelt}))"))
+    d = d.withColumn("s", F.expr("filter(s, (x, i) -> (i > 0 AND x.x = get(s, i - 1).x) OR coalesce(x.x = get(s, i + 1).x, false))"))
+    d = d.withColumn("s", F.expr("sort_array(transform(s, x -> bigint(x.p)))"))
     return d.select(
         *keep,
         "n_words",
