@@ -7,10 +7,14 @@ forward-backward gives every line's marginal of being good; the mean of the
 marginals, weighted by line length, is the document's raw quality, and a
 logistic curve fitted on the training sample turns it into a score.
 
-Lines inherit their document's label for training.  The model is fitted by
-gradient ascent on the exact conditional likelihood over at most ``max_rows``
-labelled documents (smallest hash of the id) of at most ``max_lines`` lines;
-every document is scored whole, in its input partition, without a shuffle.
+Labels are of documents, so in training the lines' labels are hidden: given
+them, a document is good with odds exp(AGREE * (2 * good share of length - 1)),
+and the model maximises the probability of the documents' labels, summed over
+all labellings of their lines.  As the share is a sum over lines, that takes one
+forward-backward pass for either label, and lines of one document may disagree:
+a junk line in a good document is bad.  The sample is at most ``max_rows``
+labelled documents (smallest hash of the id); every document is scored whole,
+in its input partition, without a shuffle.
 
 Defined cases: NULL, empty and blank texts have no lines and score the
 training share of good documents; unlabelled documents, NULL labels and NULL
@@ -37,6 +41,7 @@ _LUT = np.zeros((len(CLASSES), 256), dtype=np.uint8)
 for _k, _c in enumerate(CLASSES):
     _LUT[_k, list(_c)] = 1
 N_OWN = len(CLASSES) + 5
+AGREE = 6.0
 
 
 @dataclass
@@ -103,14 +108,14 @@ def _padded(lengths: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(bucket == b) for b in np.unique(bucket)]
 
 
-def forward_backward(unary: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals of state 1, expected transition counts and the sum of log partitions.
+def forward_backward(unary: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of state 1, and of each sequence expected transition counts and log partition.
 
     unary: score of state 1 against state 0 for the nodes of all sequences one
     after another; trans: 2 x 2 log potentials.
     """
     first = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-    marginal, pairs, log_z = np.empty(len(unary)), np.zeros((2, 2)), 0.0
+    marginal, pairs, log_z = np.empty(len(unary)), np.zeros((len(lengths), 2, 2)), np.zeros(len(lengths))
     t = np.exp(trans)
     for group in _padded(lengths):
         size, m = lengths[group], int(lengths[group].max())
@@ -138,8 +143,8 @@ def forward_backward(unary: np.ndarray, trans: np.ndarray, lengths: np.ndarray)
         if m > 1:
             both = real[:, 1:]
             right = (emit * beta)[:, 1:] / scale[:, 1:, None]
-            pairs += np.einsum("nij,nik,ni->jk", alpha[:, :-1], right, both.astype(float)) * t
-        log_z += float(np.log(scale).sum() + (top * real).sum())
+            pairs[group] = np.einsum("nij,nik,ni->njk", alpha[:, :-1], right, both.astype(float)) * t
+        log_z[group] = np.log(scale).sum(axis=1) + (top * real).sum(axis=1)
     return marginal, pairs, log_z
 
 
@@ -175,10 +180,13 @@ def _curve(raw: np.ndarray, curve: tuple[float, float]) -> np.ndarray:
     return 1 / (1 + np.exp(-(curve[0] + curve[1] * np.log(r / (1 - r)))))
 
 
-def train(lines: Lines, label: np.ndarray, *, max_lines: int = 200, steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Model:
-    """Maximum conditional likelihood (Adam) of lines labelled like their texts.
+def train(lines: Lines, label: np.ndarray, *, max_lines: int = 200, steps: int = 120, rate: float = 0.1, l2: float = 1e-3, l2_near: float = 0.2) -> Model:
+    """Maximum likelihood (Adam) of the texts' labels, those of their lines being hidden.
 
     A long text is learned from as several chains of at most ``max_lines`` lines.
+    What a line's neighbours tell (their features, the transitions) is held back
+    by ``l2_near``, a line's own shape by ``l2`` alone, so that a line which differs
+    from its neighbours can be told apart.
     """
     prior = float(label.mean()) if len(label) else 0.5
     own = lines.observations()
@@ -190,17 +198,21 @@ def train(lines: Lines, label: np.ndarray, *, max_lines: int = 200, steps: int =
     scale = np.where(scale > 1e-9, scale, 1.0)
     x = np.clip((own - mean) / scale, -8, 8)
     place = np.arange(n_nodes) - np.searchsorted(lines.owner, lines.owner)
-    chain = np.cumsum(place % max_lines == 0)
-    lengths = np.bincount(chain)[1:]
-    y = label[lines.owner].astype(float)
-    seen = np.zeros((2, 2))
-    inner = chain[1:] == chain[:-1]
-    np.add.at(seen, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), 1)
+    chain = np.cumsum(place % max_lines == 0) - 1
+    lengths = np.bincount(chain)
+    y = label[lines.owner[np.concatenate(([0], np.cumsum(lengths)[:-1]))]].astype(float)  # of each chain
+    pull = AGREE * 2 * lines.weight / np.bincount(chain, lines.weight)[chain]
     theta = np.zeros(x.shape[1] + 4)
+    decay = np.full(len(theta), l2_near)
+    decay[:N_OWN] = decay[x.shape[1] - 1] = l2  # own features and the bias
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        p, pairs, _ = forward_backward(x @ theta[:-4], theta[-4:].reshape(2, 2), lengths)
-        grad = np.concatenate([x.T @ (p - y), (pairs - seen).ravel()]) / n_nodes + l2 * theta
+        u, trans = x @ theta[:-4], theta[-4:].reshape(2, 2)
+        good, good_pairs, good_z = forward_backward(u + pull / 2, trans, lengths)
+        bad, bad_pairs, bad_z = forward_backward(u - pull / 2, trans, lengths)
+        p = 1 / (1 + np.exp(np.clip(bad_z - good_z + AGREE, -500, 500)))  # of a good label
+        off = p - y
+        grad = np.concatenate([x.T @ ((good - bad) * off[chain]), np.einsum("n,nij->ij", off, good_pairs - bad_pairs).ravel()]) / len(lengths) + decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model = Model(mean, scale, theta[:-4].copy(), theta[-4:].reshape(2, 2).copy(), (0.0, 1.0), prior)
