@@ -113,6 +113,9 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra
     A column named ``extra`` is carried along.
     """
     more = [extra] if extra else []
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; this operator orders documents by an integer id")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
     if not rows.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").limit(1).count():
         return rows.select(F.coalesce("id", F.lit(NULL_KEY).cast("long")).alias("k"), "text", *more)
@@ -148,9 +151,17 @@ class Places:
 
 
 def exact_copies(base: DataFrame) -> DataFrame:
-    """(k, first, copies) of every document whose whole text occurs more than once; first is the smallest k."""
+    """(k, first, copies) of every document whose whole text occurs more than once; first is the smallest k.  A scratch table."""
     digests = base.select("k", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     digests = materialize(digests, "digests")
     groups = digests.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     # written out, so that the join reads both sides plainly and AQE can split a digest of very many copies
-    return digests.join(materialize(groups, "copies"), "digest").select("k", "first", "copies")
+    groups = materialize(groups, "groups")
+    out = materialize(digests.join(groups, "digest").select("k", "first", "copies"), "copies")
+    drop_scratch(digests, groups)
+    return out
+
+
+def dealt(key: str, salt: str) -> Column:
+    """What a hash's rows are bucketed by: itself, or for a salted (hot) one a hash of both."""
+    return F.when(F.col(salt) < 0, F.col(key)).otherwise(F.xxhash64(key, salt))

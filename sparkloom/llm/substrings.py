@@ -40,16 +40,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import Places, bucketed, buckets, drop_scratch, id_of, keyed, materialize, scratch_dir
-from sparkloom.llm.textops import BASES, Words, anchors, batches, grams, mix, signed
+from sparkloom.llm.common import Places, bucketed, buckets, dealt, drop_scratch, id_of, keyed, materialize, scratch_dir
+from sparkloom.llm.textops import BASES, Often, Words, anchors, batches, grams, mix, signed
 
 WINDOW, GRAM = 20, 8
-#: A fingerprint is hot in a task beyond this many documents and HOT_FACTOR times the mean of all.
-HOT, HOT_FACTOR, HOT_CELLS = 64, 16, 1 << 18
+HOT = 64  #: documents of a task from which a fingerprint can be hot
 
 
 class Selected:
@@ -87,7 +86,7 @@ def fingerprints(base: DataFrame, window: int, gram: int, salts: int, hot_from:
     """
 
     def run(it):
-        seen, total = np.zeros(HOT_CELLS, dtype=np.int64), 0
+        often = Often(salts, hot_from)
         for batch in it:
             k = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, texts in batches(batch, "text"):
@@ -99,12 +98,7 @@ def fingerprints(base: DataFrame, window: int, gram: int, salts: int, hot_from:
                 cut = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])))) if len(fp) else order
                 n = np.diff(np.append(cut, len(fp)))
                 fp, key = fp[cut], k[lo + owner[cut]]
-                cell = fp & (HOT_CELLS - 1)
-                seen += np.bincount(cell, minlength=HOT_CELLS)
-                total += len(fp)
-                often = seen[cell] > hot_from + HOT_FACTOR * total // HOT_CELLS
-                salt = np.where(often, (mix(key.astype(np.uint64)) % np.uint64(salts)).astype(np.int64), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(key), pa.array(n.astype(np.int32)), pa.array(salt.astype(np.int32))], names=["fp", "k", "n", "salt"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(key), pa.array(n.astype(np.int32)), pa.array(often.salt(fp, key))], names=["fp", "k", "n", "salt"])
 
     return base.select("k", "text").mapInArrow(run, "fp long, k long, n int, salt int")
 
@@ -140,11 +134,6 @@ def window_hashes(nominated: DataFrame, window: int, gram: int) -> DataFrame:
     return nominated.select("k", "text", "fps").mapInArrow(run, "h1 long, h2 long, k long, at int")
 
 
-def _part(fp: str, salt: str) -> Column:
-    """What a fingerprint's rows are bucketed by."""
-    return F.when(F.col(salt) < 0, F.col(fp)).otherwise(F.xxhash64(fp, salt))
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -271,7 +260,7 @@ class FingerprintIndex:
         copies, digests = self._copies(base, seq, nb)
         fresh = base.join(copies, "k", "left_anti")
         rows = fingerprints(fresh, self.window, self.gram, nb, self.hot_from)
-        rows = rows.select(_part("fp", "salt").alias("part"), F.when(F.col("salt") >= 0, F.col("fp")).alias("hot"), F.lit(seq).alias("seq"), "k", "n")
+        rows = rows.select(dealt("fp", "salt").alias("part"), F.when(F.col("salt") >= 0, F.col("fp")).alias("hot"), F.lit(seq).alias("seq"), "k", "n")
         own = self._write(f"run-{seq}-{seq}-{nb}", rows)
         hot = own.filter("hot IS NOT NULL").select("hot").distinct()
         hot.write.mode("overwrite").parquet(f"{self.path}/hot-{seq}-{seq}")
@@ -337,7 +326,7 @@ class FingerprintIndex:
             run = self._table(f"run-{lo}-{hi}-{nb}")
             plain = run.filter("hot IS NULL").join(shared, "part", "left_semi").select("seq", "k", F.col("part").alias("fp"))
             salted = self._hot(lo, hi).join(shared, "part", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("salt"), F.col("part").alias("fp"))
-            salted = run.filter("hot IS NOT NULL").join(salted.select(_part("fp", "salt").alias("part")), "part", "left_semi").select("seq", "k", F.col("hot").alias("fp"))
+            salted = run.filter("hot IS NOT NULL").join(salted.select(dealt("fp", "salt").alias("part")), "part", "left_semi").select("seq", "k", F.col("hot").alias("fp"))
             lists = materialize(plain.unionByName(salted).groupBy("seq", "k").agg(F.collect_list("fp").alias("fps")), "history")
             held.append(lists)
             for seq in range(lo, hi + 1):

@@ -14,10 +14,15 @@ Previous and next smaller positions in suffix order give each suffix its
 longest earlier match.  ``keep="first"`` removes later copies and keeps the
 first; ``keep="none"`` also removes the place that the earlier match points to.
 
-Anchors with more than ``max_group`` distinct segments (a passage's edge in
-very many documents) never meet in one task: their strings are hashed one by
-one (128 bits), counted with map-side aggregation, and decided exactly like
-the rest.  Exact copies of a whole text are found by digest first.
+An anchor with more than ``max_group`` distinct segments (a passage's edge in
+very many documents) is split by more context before its arrays are built: its
+strings are dealt by the anchor's offset within them, in ranges of ``SPLITS``
+offsets, and by all bytes that the strings of a range have in common, so equal
+strings stay together and equal pieces collapse.  With ranges of one offset a
+group is one string, so every group comes to fit.  A group of a single segment
+needs no array: strings of one segment have their anchor at different offsets.
+Exact copies of a whole text are found by digest first.  Anchors that a task
+meets very often are dealt over all buckets by a salt.
 
 A document receives the ranges of its candidate strings that stay; all other
 candidates are repetitions.  So no pairs are formed and no group is collected.
@@ -37,10 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Places, bucketed, exact_copies, id_of, keyed, materialize
-from sparkloom.llm.textops import CODES, anchors, batches, grams, signed
+from sparkloom.llm.common import Places, bounded_broadcast, bucketed, buckets, dealt, drop_scratch, exact_copies, id_of, keyed, materialize
+from sparkloom.llm.textops import CODES, Often, anchors, batches, grams, signed
 
 DEPTH, GRAM = 200, 40
+SPLITS = (32, 6, 1)  # anchor offsets that the strings of a split group share
 CHUNK = 1 << 20  # bytes of text hashed at once
 
 
@@ -172,10 +178,11 @@ def _lists(column: pa.Array) -> list:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _anchor_rows(base: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(h, k, n): the anchors of every document and how many places select each."""
+def _anchor_rows(base: DataFrame, depth: int, gram: int, salts: int, hot_from: int) -> DataFrame:
+    """(h, k, n, salt): the anchors of every document, how many places select each, and a salt for hot ones."""
 
     def run(it):
+        often = Often(salts, hot_from)
         for batch in it:
             k = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, texts in batches(batch, "text", CHUNK):
@@ -184,9 +191,22 @@ def _anchor_rows(base: DataFrame, depth: int, gram: int) -> DataFrame:
                 h, owner = s.seg_hash[order], s.seg_owner[order]
                 cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else order
                 n = np.diff(np.append(cut, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[cut]), pa.array(k[lo + owner[cut]]), pa.array(n.astype(np.int32))], names=["h", "k", "n"])
+                h, key = h[cut], k[lo + owner[cut]]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(n.astype(np.int32)), pa.array(often.salt(h, key))], names=["h", "k", "n", "salt"])
 
-    return base.select("k", "text").mapInArrow(run, "h long, k long, n int")
+    return base.select("k", "text").mapInArrow(run, "h long, k long, n int, salt int")
+
+
+def _nominees(base: DataFrame, depth: int, gram: int, hot_from: int) -> tuple[DataFrame, DataFrame]:
+    """((k, hs): the anchors that each document shares with other places; the scratch table it reads)."""
+    rows = _anchor_rows(base, depth, gram, buckets(base.sparkSession), hot_from)
+    rows = bucketed(rows.select(dealt("h", "salt").alias("part"), F.when(F.col("salt") >= 0, F.col("h")).alias("hot"), "k", "n"), "part", "anchors")
+    plain = rows.filter("hot IS NULL")
+    counts = plain.groupBy("part").agg(F.sum("n").alias("n"))
+    hot = rows.filter("hot IS NOT NULL").select(F.col("hot").alias("part")).distinct()  # few, as each occurs very often
+    found = plain.join(counts.filter("n > 1"), "part", "left_semi").unionByName(plain.join(counts.filter("n = 1").join(hot, "part", "left_semi"), "part", "left_semi"))
+    found = found.select("k", F.col("part").alias("h")).unionByName(rows.filter("hot IS NOT NULL").select("k", F.col("hot").alias("h")))
+    return found.groupBy("k").agg(F.collect_list("h").alias("hs")), rows
 
 
 def _segments(nominated: DataFrame, depth: int, gram: int) -> DataFrame:
@@ -265,42 +285,58 @@ def _suffix_sorted(grouped: DataFrame, places: Places, depth: int, keep: str, pa
     return cols.repartition("h").sortWithinPartitions("h").mapInArrow(run, "k long, lo int, hi int")
 
 
-def _counted(hot: DataFrame, places: Places, depth: int, keep: str) -> DataFrame:
-    """(k, lo, hi) for anchors with very many distinct segments: every string hashed and counted."""
-    strings = hot.select("n", places.k("new").alias("k"), places.at("new").alias("at"), "seg", F.explode(F.sequence(F.lit(0), F.length("seg") - depth)).alias("i"))
-    piece = F.expr(f"substring(seg, i + 1, {depth})")
-    strings = strings.select(F.xxhash64(piece).alias("h1"), F.xxhash64(F.lit(1), piece).alias("h2"), "n", "k", (F.col("at") + F.col("i")).alias("at"))
-    found = strings.withColumn("new", places.code("k", "at")).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("new").alias("new"))
-    if keep == "none":
-        found = found.filter("n = 1")
-    return found.select(places.k("new").alias("k"), places.at("new").alias("lo"), (places.at("new") + 1).alias("hi"))
+def _split(hot: DataFrame, places: Places, depth: int, width: int) -> DataFrame:
+    """Pieces of segments, grouped by ``width`` offsets of the anchor and the bytes that all strings of the piece share."""
+    last = F.length("seg") - depth  # number of the last string; string i has its anchor at off - i
+    ranges = F.sequence(F.floor((F.col("off") - last) / width).cast("int"), F.floor(F.col("off") / width).cast("int"))
+    p = hot.select("h", "off", "seg", "n", places.k("new").alias("k"), places.at("new").alias("at"), last.alias("last"), F.explode(ranges).alias("r"))
+    p = p.withColumn("lo", F.greatest(F.lit(0), F.col("off") - ((F.col("r") + 1) * width - 1))).withColumn("hi", F.least("last", F.col("off") - F.col("r") * width))
+    common = F.expr(f"substring(seg, off - r * {width} + 1, {depth - width + 1})")
+    p = p.select(
+        F.xxhash64("h", "r", common).alias("h"), (F.col("off") - F.col("lo")).alias("off"), F.expr(f"substring(seg, lo + 1, hi - lo + {depth})").alias("seg"), "n", "k", (F.col("at") + F.col("lo")).alias("at")
+    )
+    return p.withColumn("new", places.code("k", "at")).groupBy("h", "off", "seg").agg(F.sum("n").alias("n"), F.min("new").alias("new"))
+
+
+def _staying(segs: DataFrame, places: Places, depth: int, keep: str, max_group: int, part_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """((k, lo, hi): ranges of strings that stay; scratch tables) of distinct segments (h, off, seg, n, new)."""
+    out, held = None, []
+    for width in (*(w for w in SPLITS if w < depth), None):
+        groups = materialize(segs.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).filter("distinct > 1"), "groups")
+        large = materialize(groups.filter(F.col("distinct") > max_group).select("h"), "large")
+        held += [groups, large]
+        any_large = width is not None and bool(large.limit(1).count())
+        rest = segs.join(bounded_broadcast(large), "h", "left_anti") if any_large else segs
+        alone = rest.join(groups, "h", "left_anti").filter(F.lit(True) if keep == "first" else F.col("n") == 1)
+        stay = alone.select(places.k("new").alias("k"), places.at("new").alias("lo"), (places.at("new") + F.length("seg") - (depth - 1)).alias("hi"))
+        stay = stay.unionByName(_suffix_sorted(rest.join(groups, "h", "left_semi"), places, depth, keep, part_bytes))
+        out = stay if out is None else out.unionByName(stay)
+        if not any_large:
+            return out, held
+        segs = materialize(_split(segs.join(bounded_broadcast(large), "h", "left_semi"), places, depth, width), "pieces", compression="zstd")
+        held.append(segs)
+    raise AssertionError("not reached")
 
 
 def deduplicate(
     docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, keep: str = "first", id_col: str = "doc_id", text_col: str = "text",
-    max_group: int = 8192, part_bytes: int = 1 << 20, with_text: bool = True,
+    max_group: int = 8192, part_bytes: int = 1 << 20, with_text: bool = True, hot_from: int = 64,
 ) -> DataFrame:
     """Removals: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the
     removed byte spans (end excluded) and the remaining bytes as text."""
     if keep not in ("first", "none") or depth < max(16, gram):
         raise ValueError("keep is 'first' or 'none'; depth is at least 16 and the gram")
     base = keyed(docs, id_col, text_col)
-    rows = bucketed(_anchor_rows(base, depth, gram), "h", "anchors")
-    shared = rows.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    lists = rows.join(shared, "h", "left_semi").groupBy("k").agg(F.collect_list("h").alias("hs"))
-    copies = exact_copies(base).select("k", (F.col("first") < F.col("k")).alias("later"))
-    meta = materialize(lists.join(copies, "k", "full_outer"), "nominees")
+    lists, anchor_rows = _nominees(base, depth, gram, hot_from)
+    copies = exact_copies(base)
+    meta = materialize(lists.join(copies.select("k", (F.col("first") < F.col("k")).alias("later")), "k", "full_outer"), "nominees")
+    drop_scratch(anchor_rows, copies)
     places = Places(base)
     nominated = base.join(meta, "k").filter("hs IS NOT NULL AND NOT coalesce(later, false)")
     segs = _segments(nominated, depth, gram).withColumn("new", places.code("k", "at"))
     segs = segs.groupBy("h", "off", "seg").agg(F.count(F.lit(1)).alias("n"), F.min("new").alias("new"))
     segs = materialize(segs, "segments", compression="zstd")
-    groups = segs.groupBy("h").agg(F.count(F.lit(1)).alias("distinct"))
-    segs = segs.join(groups, "h")
-    alone = segs.filter("distinct = 1").filter(F.lit(True) if keep == "first" else F.col("n") == 1)
-    stay = alone.select(places.k("new").alias("k"), places.at("new").alias("lo"), (places.at("new") + F.length("seg") - (depth - 1)).alias("hi"))
-    stay = stay.unionByName(_suffix_sorted(segs.filter((F.col("distinct") > 1) & (F.col("distinct") <= max_group)), places, depth, keep, part_bytes))
-    stay = stay.unionByName(_counted(segs.filter(F.col("distinct") > max_group), places, depth, keep))
+    stay, held = _staying(segs, places, depth, keep, max_group, part_bytes)
     stay = stay.groupBy("k").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     whole = F.col("later").isNotNull() if keep == "none" else F.coalesce("later", F.lit(False))
     rows = base.join(meta, "k", "left").join(stay, "k", "left").select(id_of(base).alias("id"), "text", "hs", whole.alias("whole"), "lo", "hi")
@@ -314,7 +350,9 @@ def deduplicate(
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", spans array<struct<start: int, end: int>>, text string" * with_text
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    out = materialize(rows.mapInArrow(run, schema), "removals")
+    drop_scratch(meta, segs, *held, base)
+    return out.withColumnRenamed("id", id_col)
 
 
 def _removed(texts, ids, hs, whole, los, his, depth: int, gram: int, with_text: bool) -> pa.RecordBatch:

@@ -164,6 +164,27 @@ def anchors(gram: np.ndarray, inside: np.ndarray, w: int) -> np.ndarray:
     return (window_min(packed, w) & ((U(1) << bits) - U(1))).astype(np.int64)
 
 
+class Often:
+    """Salts for hashes that a task has met in unusually many documents, so that their rows can be dealt out.
+
+    Counters are by the low bits of a hash; one is hot beyond ``least`` and ``factor`` times their mean.
+    """
+
+    CELLS = 1 << 18
+
+    def __init__(self, salts: int, least: int = 64, factor: int = 16):
+        self.salts, self.least, self.factor = salts, least, factor
+        self.seen, self.total = np.zeros(self.CELLS, dtype=np.int64), 0
+
+    def salt(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """-1, or for hot ones a number below ``salts`` by the document ``k``."""
+        cell = h & (self.CELLS - 1)
+        self.seen += np.bincount(cell, minlength=self.CELLS)
+        self.total += len(h)
+        hot = self.seen[cell] > self.least + self.factor * self.total // self.CELLS
+        return np.where(hot, (mix(k.astype(U)) % U(self.salts)).astype(np.int64), -1).astype(np.int32)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -176,13 +176,24 @@ def brute_bytes(rows, depth, keep):
     return out
 
 
-@pytest.mark.parametrize("keep, max_group", [("none", 8192), ("none", 2), ("first", 8192), ("first", 2)])
-def test_suffix_dedup(spark, keep, max_group):
+@pytest.mark.parametrize("keep, max_group, hot_from", [("none", 8192, 64), ("none", 1, 1), ("first", 2, 3)])
+def test_suffix_dedup(spark, keep, max_group, hot_from):
+    """Whole groups, groups split down to single strings, and salted anchors."""
     rows = corpus(7)
-    got = suffix.deduplicate(spark.createDataFrame(rows, SCHEMA), depth=60, gram=16, keep=keep, max_group=max_group, part_bytes=5000, with_text=False)
+    got = suffix.deduplicate(spark.createDataFrame(rows, SCHEMA), depth=60, gram=16, keep=keep, max_group=max_group, part_bytes=5000, with_text=False, hot_from=hot_from)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == brute_bytes(rows, 60, keep)
 
 
+def test_a_hot_passage(spark):
+    """One passage in every document, between texts of their own: its edges are one anchor with very many segments."""
+    r = np.random.default_rng(1)
+    own = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    passage = own(150)
+    rows = [(i, own(int(r.integers(0, 80))) + passage + own(int(r.integers(0, 80))), "", 0, "") for i in range(150)]
+    got = suffix.deduplicate(spark.createDataFrame(rows, SCHEMA), depth=60, gram=16, keep="none", max_group=20, with_text=False)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == brute_bytes(rows, 60, "none")
+
+
 def test_suffix_repeated_rows_and_empty(spark):
     r = np.random.default_rng(0)
     text = "".join(chr(97 + c) for c in r.integers(0, 26, 100)) + "é"
