@@ -7,10 +7,11 @@ skips ahead; a zero shift selects a bucket of patterns by that suffix block,
 narrowed by the pattern's first bytes, and direct comparison confirms.  Many
 cursors advance through a batch in lockstep, so the loop runs in numpy.
 
-The benchmark is handled in blocks of bounded bytes (``block_bytes``): one
-matcher a block, one after another over each batch of documents, so memory
-does not grow with the benchmark.  No shuffle is needed; documents stay in
-their input partitions.
+The benchmark is handled in blocks of bounded bytes (``block_bytes``).  One
+block at a time is sent out, and every task builds its matcher once and passes
+its documents by it; with several blocks the documents are written out between
+passes together with what was found so far.  So neither the driver's nor the
+executors' memory grows with the benchmark, and no shuffle is needed.
 
 Defined cases: NULL and empty texts have no words and are clean; NULL items
 have no windows; repeated items and repeated rows each count on their own
@@ -22,14 +23,19 @@ text columns are read, and further columns of ``docs`` pass through
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkloom.llm.common import drop_scratch, materialize
 from sparkloom.llm.textops import batches
 
 #: Word bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: digits, a-z and all beyond ASCII.
@@ -133,51 +139,71 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
         yield block
 
 
-def _items(block) -> list[tuple[str, bytes]]:
-    """The items of a broadcast block, which the worker then lets go of."""
-    items = block.value
-    vars(block).pop("_value", None)
-    return items
+def _sent(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """(a block, packed small, on all executors; whether it is the last); at least one, each gone when the next comes."""
+    sc, blocks = benchmark.sparkSession.sparkContext, item_blocks(benchmark, item_col, text_col, block_bytes)
+    block = next(blocks, [])
+    while block is not None:
+        after = next(blocks, None)
+        sent = sc.broadcast(zlib.compress(pickle.dumps(block), 1))
+        yield sent, after is None
+        if after is not None:
+            sent.unpersist()
+        block = after
 
 
-SCHEMA = "row_key long, n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<start: int, end: int>>"
+def _matcher(block: Broadcast, window: int) -> Matcher:
+    return Matcher(pickle.loads(zlib.decompress(block.value)), window)
+
+
+SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = 4 << 20) -> DataFrame:
     """One row a document: id, n_words, n_hit, n_items, item_ids (sorted) and the
     word spans hit (merged, end excluded)."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in item_blocks(benchmark, item_col, "text", block_bytes)]
-    if not blocks:
-        blocks = [sc.broadcast([])]
-    kept: dict[int, Matcher] = {}
-
-    def matcher(i: int) -> Matcher:
-        if len(blocks) == 1:
-            if i not in kept:
-                kept[i] = Matcher(_items(blocks[i]), window)
-            return kept[i]
-        return Matcher(_items(blocks[i]), window)
+    rows = docs.select(F.col(id_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    found = T.StructType().add("item_ids", T.ArrayType(T.StringType())).add("spans", SPANS)
+    kind = rows.schema["row_key"].dataType
+    held = None
+    for block, last in _sent(benchmark, item_col, "text", block_bytes):
+        schema = T.StructType().add("row_key", kind)
+        if last:
+            for c in ("n_words", "n_hit", "n_items"):
+                schema.add(c, "long")
+        else:
+            schema.add("text", "string")
+        out = rows.mapInArrow(_pass(block, window, last), T.StructType([*schema, *found]))
+        if last:
+            return out.withColumnRenamed("row_key", id_col)
+        before, held = held, materialize(out, "scanned")
+        if before is not None:
+            drop_scratch(before)
+        rows = held
+    raise AssertionError("not reached")
+
+
+def _pass(block: Broadcast, window: int, last: bool):
+    """Adds what one block's items find to rows (row_key, text, and of earlier passes item_ids, spans)."""
 
     def run(it):
+        m = _matcher(block, window)
         for batch in it:
-            runs = list(batches(batch, "text", 1 << 22))
-            ids = batch.column(0)
-            hits: list[dict[int, tuple[list, set]]] = [{} for _ in runs]
-            prepared = []
-            for _, _, texts in runs:
+            earlier = [batch.column(i) for i in (2, 3)] if batch.num_columns > 2 else None
+            for lo, hi, texts in batches(batch, "text", 1 << 22):
                 split = [words_of(t) for t in texts]
-                norm = [b" " + b" ".join(w) + b" " if w else b"" for w in split]
-                prepared.append((np.array([len(w) for w in split], dtype=np.int64), norm))
-            for i in range(len(blocks)):
-                m = matcher(i)
-                for r, (_, norm) in enumerate(prepared):
-                    _collect(m, norm, hits[r])
-            for r, (lo, hi, _) in enumerate(runs):
-                yield _rows(ids.slice(lo, hi - lo), prepared[r][0], hits[r])
+                hits: dict[int, tuple[list, set]] = {}
+                if earlier:
+                    for d, (items, spans) in enumerate(zip(earlier[0].slice(lo, hi - lo).to_pylist(), earlier[1].slice(lo, hi - lo).to_pylist(), strict=True)):
+                        if items:
+                            hits[d] = ([(x["start"], x["end"], True) for x in spans], set(items))
+                _collect(m, [b" " + b" ".join(w) + b" " if w else b"" for w in split], hits)
+                done = _rows(batch.column(0).slice(lo, hi - lo), np.array([len(w) for w in split], dtype=np.int64), hits)
+                if not last:
+                    done = pa.RecordBatch.from_arrays([done.column(0), batch.column(1).slice(lo, hi - lo), done.column(4), done.column(5)], names=["row_key", "text", "item_ids", "spans"])
+                yield done
 
-    out = docs.select(F.col(id_col).cast("long").alias("row_key"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
-    return out.withColumnRenamed("row_key", id_col)
+    return run
 
 
 def _collect(m: Matcher, norm: list[bytes], hits: dict[int, tuple[list, set]]) -> None:
@@ -223,27 +249,30 @@ def _rows(ids: pa.Array, counts: np.ndarray, hits: dict[int, tuple[list, set]])
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` without the rows whose text holds any benchmark window."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in item_blocks(benchmark, "item_id", "text", 4 << 20)]
-    at = docs.columns.index(text_col)
-    kept: dict[int, Matcher] = {}
-
-    def run(it):
-        for batch in it:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            named = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
-            for i in range(len(blocks)):
-                if i not in kept:
-                    if len(blocks) > 1:
-                        kept.clear()
-                    kept[i] = Matcher(_items(blocks[i]), window)
+    at, schema, held = docs.columns.index(text_col), docs.schema, None
+
+    def clean(block):
+        def run(it):
+            m = _matcher(block, window)
+            for batch in it:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                named = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
                 for lo, _, values in batches(named, "text", 1 << 22):
                     norm = [b" " + b" ".join(w) + b" " if (w := words_of(t)) else b"" for t in values]
                     starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in norm])))
-                    if found := kept[i].search(b"\0".join(norm)):
+                    if found := m.search(b"\0".join(norm)):
                         keep[lo + np.searchsorted(starts, [s for s, _ in found], side="right") - 1] = False
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for block, last in _sent(benchmark, "item_id", "text", block_bytes):
+        docs = docs.mapInArrow(clean(block), schema)
+        if not last:
+            before, held = held, materialize(docs, "clean")
+            docs = held
+            if before is not None:
+                drop_scratch(before)
+    return docs

@@ -16,8 +16,8 @@ shuffled, never tokens, and a length that a third of all documents share is
 ranked a partition at a time.
 
 Defined cases: NULL and empty texts are one piece (the end token alone);
-repeated rows and NULL ids are packed a row at a time; an empty table gives no
-rows; other columns are never read.
+repeated rows and NULL ids are packed a row at a time; ids of any type pass
+through; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import materialize
+from sparkloom.llm.textops import batches
 
 #: Texts of only these characters are cut into words alike by both tokenizer libraries.
 _PLAIN = re.compile(r"[\t\n\x20-\x7e¡-¬®-ſ]*")
@@ -164,9 +166,9 @@ def tokenize(docs: DataFrame, encoder: Callable, *, capacity: int, end_id: int,
         encode = encoder()
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in it:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                ids = [np.append(x, np.uint32(end_id)) for x in encode([t or "" for t in piece.column(1).to_pylist()])]
+            for lo, hi, texts in batches(batch, "text"):
+                piece = batch.slice(lo, hi - lo)
+                ids = [np.append(x, np.uint32(end_id)) for x in encode([t.decode() for t in texts])]
                 n = [len(x) for x in ids]
                 head = [(x - 1) % capacity + 1 for x in n]
                 nth, nth_full = [], []
@@ -183,8 +185,9 @@ def tokenize(docs: DataFrame, encoder: Callable, *, capacity: int, end_id: int,
                     names=["part", "id", "n", "head", "nth", "nth_full", "ids"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "part int, id long, n long, head int, nth long, nth_full long, ids binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType().add("part", "integer").add("id", rows.schema["id"].dataType).add("n", "long").add("head", "integer").add("nth", "long").add("nth_full", "long").add("ids", "binary")
+    out = rows.mapInArrow(run, schema)
     return materialize(out, "tokens", compression="zstd")
 
 
@@ -235,8 +238,8 @@ def pack(
     placed = light.join(base, ["part", "length"]).select(
         "id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", *(["ids"] if with_ids else []), (F.col("base") + F.col("local")).alias("rank")
     )
-    kinds = "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return placed.mapInArrow(place, f"{kinds}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    schema = T.StructType([f for f in placed.schema if f.name != "rank"]).add("sequence_id", "long").add("offset", "long")
+    return placed.mapInArrow(place, schema).withColumnRenamed("id", id_col)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

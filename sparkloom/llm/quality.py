@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import drop_scratch, fold, materialize
 from sparkloom.llm.textops import BASES, CODES, Words, batches, prefix, spans
@@ -255,10 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], names=["id", "label", "n", "lines"])
 
-    got = materialize(sample.select(F.col(id_col).cast("long"), "text", "_label").mapInArrow(run, "id long, label int, n long, lines binary"), "lines")
+    got = materialize(sample.select(F.col(id_col).cast("string"), "text", "_label").mapInArrow(run, "id string, label int, n long, lines binary"), "lines")
     most = longest_run(np.array([r["n"] for r in got.select("n").collect()], dtype=np.int64), max_rows * max_lines)
     size = (N_OWN + 1) * 8
-    start = F.crc32(F.col("id").cast("string").cast("binary")) % F.greatest(F.col("n") - most + 1, F.lit(1))
+    start = F.crc32(F.col("id").cast("binary")) % F.greatest(F.col("n") - most + 1, F.lit(1))
     rows = got.select("id", "label", F.substring("lines", (start * size + 1).cast("int"), F.lit(most * size)).alias("lines")).collect()
     drop_scratch(got)
     rows.sort(key=lambda r: (r["id"], r["label"], bytes(r["lines"])))
@@ -286,8 +287,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             for lo, hi, texts in batches(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(shared.value.score(texts))], names=["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType().add("id", rows.schema["id"].dataType).add("score", "double")).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

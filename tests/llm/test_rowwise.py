@@ -25,6 +25,21 @@ def crc(x):
 # -- packing ---------------------------------------------------------------
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=80))
+def test_plan_is_tight(lengths):
+    """Never more bins than first-fit decreasing plus one, and no fewer than the tokens need."""
+    bins: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        at = next((i for i, room in enumerate(bins) if room >= n), None)
+        if at is None:
+            bins.append(32 - n)
+        else:
+            bins[at] -= n
+    got = sum(t for t, _ in packing.plan_bins(np.bincount(lengths, minlength=33), 32))
+    assert -(-sum(lengths) // 32) <= got <= len(bins) + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 32), min_size=1, max_size=80))
 def test_plan_places_every_piece(lengths):
@@ -65,6 +80,8 @@ def test_packing_round_trip(spark):
         whole[s] = b"".join(x for _, _, x in sorted(parts))
     assert {r.sequence_id: bytes(r.ids) for r in packing.sequences(pieces).collect()} == whole
     assert packing.pack(spark.createDataFrame([], SCHEMA), queries.public_encoder).count() == 0
+    named = spark.createDataFrame([("a", "x " * 3000, 1), ("b", None, 2), (None, "y", 3)], "doc_id string, text string, length long")
+    assert sorted((r.doc_id or "", r.piece) for r in packing.pack(named, queries.public_encoder).collect()) == [("", 0), ("a", 0), ("a", 1), ("a", 2), ("b", 0)]
 
 
 def test_encoders_agree(spark):
@@ -114,6 +131,8 @@ def test_quality_held_out(spark):
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame(corpus(9), SCHEMA)
     nothing = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert quality.score(named, quality.fit(named, named.select("doc_id", (F.length("text") % 2).alias("quality")))).schema["doc_id"].dataType.simpleString() == "string"
     model = quality.fit(docs, nothing)
     assert {r.score for r in quality.score(docs, model).collect()} == {0.5}
     some = spark.createDataFrame([(r[0], int(i % 3 > 0)) for i, r in enumerate(corpus(9))], "doc_id long, quality int")
@@ -211,7 +230,7 @@ def test_decontamination(spark, block_bytes):
         r = got[d]
         assert (r.n_words, r.n_hit, r.n_items, r.item_ids) == (len(w), int(hit.sum()), len(found), sorted(found))
         clean += not found
-    assert decontam.drop_contaminated(docs, bench).count() == clean
+    assert decontam.drop_contaminated(docs, bench, block_bytes=block_bytes).count() == clean
     assert decontam.scan(docs, bench.limit(0)).filter("n_hit > 0").count() == 0 and decontam.scan(docs.limit(0), bench).count() == 0
 
 
