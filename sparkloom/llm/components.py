@@ -36,4 +36,7 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return labels.select("node", "label")
+    drop_scratch(edges)
+    out = labels.select("node", "label")
+    out._scratch = labels._scratch
+    return out

@@ -23,6 +23,15 @@ takes every pair of the same list that the first left unconnected.  A cluster
 of thousands of near copies is connected by the first round and costs the
 second nothing, and no link between unconnected sets can be missed.
 
+A shingle that a task meets in very many prefixes is hot: the first round cuts
+its list into parts by a hash of shingle and document, and chains the parts by
+their first members.  The second round joins lists by shingle and band of sizes
+(linked sizes are in the same or the next band), so a list falls apart by size
+before any pair is formed.  What remains are pairs of unconnected documents of
+alike sizes that share a prefix shingle; their number is not bounded by the
+method, but shingles that recur often stand last in the order and enter the
+prefixes of few other documents.
+
 Defined cases: NULL, empty and blank texts have the empty set and link with
 nothing; texts of fewer than ``n`` words have their whole sequence as one
 shingle; equal texts, repeated rows, equal and NULL ids are separate rows with
@@ -38,9 +47,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_broadcast, drop_scratch, keyed, materialize, release
+from sparkloom.llm.common import bounded_broadcast, buckets, drop_scratch, keyed, materialize, release
 from sparkloom.llm.components import components
-from sparkloom.llm.textops import BASES, Words, batches, grams, mix, prefix, signed, spans
+from sparkloom.llm.textops import BASES, Often, Words, batches, grams, mix, prefix, signed, spans
 
 CELLS = 1 << 20
 HASH_BITS = 56
@@ -136,11 +145,13 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _prefixes(base: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """(k, n, s1, s2, p1, p2, last, prefix, codes): size, digests of the set and of its
-    prefix, the prefix's last shingle, the prefix, and 16 bits of each of its shingles."""
+def _prefixes(base: DataFrame, order, n: int, percent: int, hot_from: int) -> DataFrame:
+    """(k, n, s1, s2, p1, p2, last, prefix, codes, hot): size, digests of the set and of its
+    prefix, the prefix's last shingle, the prefix, 16 bits of each of its shingles, and the
+    places in it of shingles that this task has met in very many prefixes."""
 
     def run(it):
+        often = Often(1, hot_from)
         for batch in it:
             k = batch.column(0)
             for lo, hi, texts in batches(batch, "text", CHUNK):
@@ -154,13 +165,17 @@ def _prefixes(base: DataFrame, order, n: int, percent: int) -> DataFrame:
                     heads.append(_digest(u[:p]))
                     prefixes.append(signed(u[:p]))
                 cut, flat = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))), pa.int32()), np.concatenate(prefixes)
+                is_hot = often.salt(flat, flat) >= 0
+                place = (np.arange(len(flat)) - np.repeat(cut.to_numpy()[:-1], np.diff(cut.to_numpy())))[is_hot]
+                hot_cut = pa.array(np.concatenate(([0], np.cumsum(is_hot)))[cut.to_numpy()], pa.int32())
                 lists = [pa.ListArray.from_arrays(cut, pa.array(flat, pa.int64())), pa.ListArray.from_arrays(cut, pa.array(flat.astype(np.int16)))]
+                lists.append(pa.ListArray.from_arrays(hot_cut, pa.array(place, pa.int32())))
                 columns = [k.slice(lo, hi - lo), pa.array(sizes, pa.int64())]
                 columns += [pa.array([x[i] for x in part], pa.int64()) for part in (sets, heads) for i in (0, 1)]
                 columns.append(pa.array(lasts, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*columns, *lists], names=["k", "n", "s1", "s2", "p1", "p2", "last", "prefix", "codes"])
+                yield pa.RecordBatch.from_arrays([*columns, *lists], names=["k", "n", "s1", "s2", "p1", "p2", "last", "prefix", "codes", "hot"])
 
-    return base.select("k", "text").mapInArrow(run, "k long, n long, s1 long, s2 long, p1 long, p2 long, last long, prefix array<long>, codes array<short>")
+    return base.select("k", "text").mapInArrow(run, "k long, n long, s1 long, s2 long, p1 long, p2 long, last long, prefix array<long>, codes array<short>, hot array<int>")
 
 
 def _whole_sets(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -197,6 +212,7 @@ class _Verifier:
 
     def __init__(self, base: DataFrame, prefixes: DataFrame, n: int, percent: int):
         self.base, self.prefixes, self.n, self.percent = base, prefixes.select("k", "n", "last", "codes"), n, percent
+        self.held: list[DataFrame] = []
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that their prefixes do not rule out.
@@ -218,6 +234,7 @@ class _Verifier:
         ends = possible.select(F.col("a").alias("k")).unionByName(possible.select(F.col("b").alias("k")))
         wanted = materialize(ends.distinct(), "wanted")
         sets = materialize(_whole_sets(self.base, bounded_broadcast(wanted), self.n), "sets", compression="none")
+        self.held += [wanted, sets]
         rows = possible.join(sets.withColumnsRenamed({"k": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"k": "b", "set": "sb"}), "b")
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         return rows.withColumn("both", both).filter(100 * F.col("both") >= self.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
@@ -227,28 +244,40 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _band(n: str, percent: int) -> Column:
+    """Sizes that can link are in the same band or in neighbouring ones."""
+    return F.floor(F.log(F.col(n)) / max(float(np.log(100 / percent)) * 1.000001, 0.01))
+
+
+def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot_from: int = 256) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every document."""
     base = keyed(docs, id_col, text_col)
     order = docs.sparkSession.sparkContext.broadcast(Order(*sketches(base, n)))  # two integers a cell
-    rows = materialize(_prefixes(base, order, n, percent), "prefixes", compression="none")
+    rows = materialize(_prefixes(base, order, n, percent, hot_from), "prefixes", compression="none")
     full = rows.filter("n > 0")
     classes = full.groupBy("n", "s1", "s2").agg(F.min("k").alias("m"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("m").alias("g"), F.count(F.lit(1)).alias("members"))
-    heads = full.select(F.col("k").alias("g"), "prefix").join(groups.select("g", "n", (F.col("members") > 1).alias("many")), "g")
-    postings = heads.select("g", "n", "many", F.posexplode("prefix").alias("pos", "tok"))
-    by = Window.partitionBy("tok").orderBy("n", "g")
+    hot = materialize(full.select(F.explode(F.transform("hot", lambda p: F.get("prefix", p))).alias("tok")).distinct(), "hot")  # each in very many prefixes
+    heads = full.select(F.col("k").alias("g"), "prefix", "hot").join(groups.select("g", "n", (F.col("members") > 1).alias("many")), "g")
+    postings = heads.select("g", "n", "many", "hot", F.posexplode("prefix").alias("pos", "tok"))
+    part = F.when(F.array_contains("hot", F.col("pos")), F.pmod(F.xxhash64("g", "tok"), F.lit(buckets(docs.sparkSession)))).otherwise(-1).cast("int")
+    postings = postings.select("g", "n", "many", "pos", "tok", part.alias("part"))
+    by = Window.partitionBy("tok", "part").orderBy("n", "g")
     so_far = by.rowsBetween(Window.unboundedPreceding, -1)
     postings = postings.select(
         "tok", "g", "n", "pos", F.lag(F.struct("g", "n", "pos")).over(by).alias("prev"), F.lead("g").over(by).alias("next"),
         F.min(F.struct("g", "n", "pos")).over(so_far).alias("head"), F.coalesce(F.lag("g", 2).over(by), F.lead("g", 2).over(by)).isNotNull().alias("end_of_long"),
         (F.col("many") | F.coalesce(F.lag("many").over(by), F.lit(False)) | F.coalesce(F.lead("many").over(by), F.lit(False))).alias("many"),
-    ).filter("prev IS NOT NULL OR next IS NOT NULL")
+    ).join(bounded_broadcast(hot.withColumn("is_hot", F.lit(True))), "tok", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+    postings = postings.filter("prev IS NOT NULL OR next IS NOT NULL OR is_hot")
     # a list of two classes is settled by its one pair of neighbours; only others have more pairs
-    long_list = F.col("end_of_long") | F.col("many") | (F.col("prev").isNotNull() & F.col("next").isNotNull())
+    long_list = F.col("is_hot") | F.col("end_of_long") | F.col("many") | (F.col("prev").isNotNull() & F.col("next").isNotNull())
     sides = [F.when(_can_link(f"{x}.n", f"{x}.pos", "n", "pos", percent), F.col(f"{x}.g")).alias(x) for x in ("prev", "head")]
-    postings = materialize(postings.select("tok", "g", "n", "pos", *sides, long_list.alias("long_list")), "postings")
+    first = F.col("is_hot") & F.col("prev").isNull()
+    postings = materialize(postings.select("tok", "g", "n", "pos", *sides, long_list.alias("long_list"), first.alias("first")), "postings")
+    chain = Window.partitionBy("tok").orderBy("n", "g")  # the parts of a hot list, at most one a bucket
+    parts = postings.filter("first").select("g", F.lag("g").over(chain).alias("prev")).filter("prev IS NOT NULL")
     release(docs.sparkSession)
     # members of groups that hold more than one class
     members = classes.join(groups.filter("members > 1"), ["n", "p1", "p2"]).select("m", "g", "n", "p1", "p2")
@@ -257,9 +286,12 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
 
     check = _Verifier(base, rows, n, percent)
     near = postings.filter("prev IS NOT NULL").select(*_ordered("prev", "g")).unionByName(postings.filter("head IS NOT NULL").select(*_ordered("head", "g")))
+    near = near.unionByName(parts.select(*_ordered("prev", "g")))
     near = near.unionByName(chains.select(*_ordered("prev", "m"))).unionByName(chains.select(*_ordered("g", "m")))
     tried = materialize(near.filter("a <> b").distinct(), "pairs")
-    links = materialize(check.links(materialize(check.possible(tried), "possible")), "links")
+    possible = materialize(check.possible(tried), "possible")
+    links = materialize(check.links(possible), "links")
+    drop_scratch(possible, *check.held)
     labels = components(links)
     release(docs.sparkSession)
 
@@ -269,28 +301,35 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     lists = lists.join(labels.withColumnsRenamed({"node": "m"}), "m", "left").select("tok", "n", "pos", "m", F.coalesce("label", "m").alias("c"))
     per = lists.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("here"))
     main = per.groupBy("tok").agg(F.max_by("c", F.struct("here", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    lists = materialize(lists.join(main.select("tok", "main"), "tok"), "lists")
-    few = lists.filter("c <> main").select("tok", F.col("m").alias("m1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("c").alias("c1"))
-    other = lists.select("tok", F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), (F.col("c") == F.col("main")).alias("in_main"))
-    cross = few.join(other, (few["tok"] == other["tok"]) & (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("m1") < F.col("m2"))) & _can_link("n1", "pos1", "n2", "pos2", percent))
+    lists = materialize(lists.join(main.select("tok", "main"), "tok").withColumn("band", _band("n", percent)), "lists")
+    bands = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")
+    few = lists.filter("c <> main").select("tok", bands, F.col("m").alias("m1"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("c").alias("c1"))
+    other = lists.select("tok", "band", F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), (F.col("c") == F.col("main")).alias("in_main"))
+    cross = few.join(other, (few["tok"] == other["tok"]) & (few["band"] == other["band"]) & (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("m1") < F.col("m2"))) & _can_link("n1", "pos1", "n2", "pos2", percent))
     cross = cross.select(*_ordered("m1", "m2")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(check.possible(cross), "possible")
-    drop_scratch(lists, postings)
+    drop_scratch(lists, postings, hot, tried)
     release(docs.sparkSession)
     if more.limit(1).count():
         found = materialize(check.links(more), "links")
         if found.limit(1).count():
-            labels = components(links.unionByName(found))
+            before, labels = labels, components(links.unionByName(found))
+            drop_scratch(before)
+        drop_scratch(found, *check.held)
+    drop_scratch(more, links)
 
     # classes back to documents: only classes with copies or a label differ from their own id
     of_class = classes.join(labels.withColumnsRenamed({"node": "m"}), "m", "left").filter("copies > 1 OR label IS NOT NULL")
     of_class = of_class.select("n", "s1", "s2", F.coalesce("label", "m").alias("c"))
     out = rows.select("k", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left").select("k", F.col("n").alias("n_shingles"), F.coalesce("c", "k").alias("c"))
     if "id" not in base.columns:
-        return out.select(F.col("k").alias(id_col), "n_shingles", F.col("c").alias("component_id"))
-    ids = base.select("k", "id")
-    out = out.join(ids, "k").join(ids.withColumnsRenamed({"k": "c", "id": "component_id"}), "c")
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+        out = out.select(F.col("k").alias(id_col), "n_shingles", F.col("c").alias("component_id"))
+    else:
+        ids = base.select("k", "id")
+        out = out.join(ids, "k").join(ids.withColumnsRenamed({"k": "c", "id": "component_id"}), "c").select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    out = materialize(out, "components")
+    drop_scratch(rows, classes, labels, base)
+    return out
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,6 +44,20 @@ def test_jaccard_components(spark, n, percent, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("hot_from", [0, 256])
+def test_jaccard_with_a_shingle_in_all_documents(spark, hot_from):
+    """One line everywhere, alone or beside words of its own, in sizes of all bands; lists cut into parts lose no link."""
+    r = np.random.default_rng(8)
+    line, rows = "all of this is licensed under the same terms", []
+    for i in range(120):
+        own = [f"x{v}" for v in r.integers(0, 25 if i % 3 else 9999, int(r.integers(0, 40)))]
+        if i % 4 == 0:
+            own = ["y"] * (i // 8) + [f"z{i % 16}"]
+        rows.append((i, " ".join([line] * (1 + i % 3) + own), "", 0, ""))
+    got = jaccard.near_components(spark.createDataFrame(rows, SCHEMA), n=4, percent=70, hot_from=hot_from).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 70)
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     text = "one two three four five six seven"
     rows = [(None, text, "", 0, ""), (5, text, "", 0, ""), (5, text, "", 0, ""), (5, "other words", "", 0, ""), (7, None, "", 0, "")]
