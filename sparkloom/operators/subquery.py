@@ -42,6 +42,11 @@ def mark_join(outer: DataFrame, key: str, inner: DataFrame, inner_key: str, mark
     return out.withColumn(mark, value).drop("_k", "_hit", "_n", "_nn")
 
 
+def right_mark_join(inner: DataFrame, inner_key: str, outer: DataFrame, key: str, mark: str = "mark") -> DataFrame:
+    """The mark join with its sides swapped: every row of the right side, marked by the left one."""
+    return mark_join(outer, key, inner, inner_key, mark)
+
+
 def any_compare(outer: DataFrame, key: str, op: str, inner: DataFrame, inner_key: str, mark: str = "mark", on: tuple[str, str] | None = None) -> DataFrame:
     """``key op ANY (inner)`` as a three-valued column, from MIN, MAX and NULL facts.
 

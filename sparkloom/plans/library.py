@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkloom import functions as S
 from sparkloom import operators as O
 from sparkloom.plans.engine import Engine
-from sparkloom.plans.tpch import TPCH
+from sparkloom.plans.tpch import OWN, TPCH
 from sparkloom.sources.tables import TABLES, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,9 @@ SHARED: dict[str, str] = {
     "sub_exists_correlated": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
     "sub_exists_uncorrelated": "SELECT r_name FROM region WHERE EXISTS (SELECT * FROM nation WHERE n_nationkey = 3)",
     "sub_not_exists": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey)",
+    "sub_not_exists_uncorrelated": "SELECT r_name FROM region WHERE NOT EXISTS (SELECT * FROM nation WHERE n_nationkey = 99)",
+    "join_comma_theta": "SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE s_acctbal < n_nationkey * 100",
+    "sort_ordinal": "SELECT o_orderstatus, o_orderkey FROM orders ORDER BY 1 NULLS LAST, 2 DESC NULLS LAST",
     "sub_in": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
     "sub_in_or": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) OR c_acctbal < 0",
     "sub_not_in": "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)",
@@ -105,6 +108,12 @@ def _mark(spark, d, op="="):
     return O.any_compare(_nulled(cust, "c_nationkey", 7), "c_nationkey", op, inner, "n_nationkey").select("c_custkey", "mark")
 
 
+def _right_mark(spark, d):
+    cust, nat = _t(spark, d, "customer", "nation")
+    inner = _nulled(nat.filter("n_regionkey = 3"), "n_nationkey", 3)
+    return O.right_mark_join(inner, "n_nationkey", _nulled(cust, "c_nationkey", 7), "c_nationkey").select("c_custkey", "mark")
+
+
 def _any_sql(op: str) -> str:
     return f"SELECT c_custkey, NULLIF(c_nationkey, 7) {op} ANY (SELECT NULLIF(n_nationkey, 3) FROM nation WHERE n_regionkey = 3) AS mark FROM customer"
 
@@ -156,6 +165,9 @@ BUILT: dict[str, tuple[Query, str]] = {
     "join_right_anti": (_join("lineitem", "orders", LO, ["o_orderkey"], "right_anti"), f"SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE {LO})"),
     "join_cross": (_join("nation", "region", "", ["n_name", "r_name"], "cross"), "SELECT n_name, r_name FROM nation CROSS JOIN region"),
     "join_mark": (_mark, _any_sql("=")),
+    "join_right_mark": (_right_mark, _any_sql("=")),
+    "sub_any_greater": (lambda s, d: _mark(s, d, ">"), _any_sql(">")),
+    "sub_any_less_equal": (lambda s, d: _mark(s, d, "<="), _any_sql("<=")),
     "sub_any_less": (lambda s, d: _mark(s, d, "<"), _any_sql("<")),
     "sub_any_greater_equal": (lambda s, d: _mark(s, d, ">="), _any_sql(">=")),
     "sub_any_not_equal": (lambda s, d: _mark(s, d, "<>"), _any_sql("<>")),
@@ -216,6 +228,14 @@ BUILT: dict[str, tuple[Query, str]] = {
         lambda s, d: table(s, d, "nation").select("n_nationkey", S.lenient_cast(F.substring("n_name", 8, 2), "int").alias("i"), S.lenient_cast(F.col("n_name"), "int").alias("bad")),
         "SELECT n_nationkey, TRY_CAST(SUBSTRING(n_name, 8, 2) AS INTEGER) AS i, TRY_CAST(n_name AS INTEGER) AS bad FROM nation",
     ),
+    "fn_lenient_cast_kinds": (
+        lambda s, d: table(s, d, "orders").select(
+            "o_orderkey", S.lenient_cast(F.col("o_orderdate").cast("date").cast("string"), "date").alias("d"), S.lenient_cast(F.col("o_orderstatus"), "date").alias("no_date"),
+            S.lenient_cast(F.col("o_orderkey").cast("string"), "double").alias("x"), S.lenient_cast(F.col("o_orderpriority"), "double").alias("no_x"), F.col("o_orderdate").cast("date").cast("string").alias("t"),
+        ),
+        """SELECT o_orderkey, TRY_CAST(CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS DATE) AS d, TRY_CAST(o_orderstatus AS DATE) AS no_date, TRY_CAST(CAST(o_orderkey AS VARCHAR) AS DOUBLE) AS x,
+ TRY_CAST(o_orderpriority AS DOUBLE) AS no_x, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS t FROM orders""",
+    ),
     "fn_days_between": (
         lambda s, d: table(s, d, "orders").select("o_orderkey", S.days_between(F.col("o_orderdate").cast("date"), F.lit("1995-06-01").cast("date")).alias("n")),
         "SELECT o_orderkey, date_diff('day', DATE '1995-06-01', CAST(o_orderdate AS DATE)) AS n FROM orders",
@@ -237,7 +257,7 @@ def _sql_query(text: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {k: _sql_query(v) for k, v in {**SHARED, **TPCH}.items()} | {k: f for k, (f, _) in BUILT.items()}
+    return {k: _sql_query(v) for k, v in {**SHARED, **TPCH, **OWN}.items()} | {k: f for k, (f, _) in BUILT.items()}
 
 
 def oracle_sql() -> dict[str, str]:

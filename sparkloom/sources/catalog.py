@@ -35,7 +35,11 @@ class Catalog:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str) -> Catalog:
+        """A new database; one that is there already stays as it is."""
         cat = cls(spark, path)
+        p, fs = cat._file("_catalog")
+        if fs.exists(p):
+            raise CatalogError(f"database {cat.path} exists")
         cat._save()
         return cat
 
@@ -54,7 +58,8 @@ class Catalog:
         if decl.name in self._tables:
             raise CatalogError(f"table {decl.name} exists")
         self._tables[decl.name] = TableDef(decl.name, decl.schema, decl.primary_key)
-        self._write(decl.name, self.spark.createDataFrame([], decl.schema), "errorifexists")
+        # files of this name can only be left from a drop that did not end
+        self._write(decl.name, self.spark.createDataFrame([], decl.schema), "overwrite")
         self._save()
         return self._tables[decl.name]
 
@@ -67,10 +72,13 @@ class Catalog:
         self._write(name, df.select([df[f.name].cast(f.dataType) for f in t.schema]), "append")
 
     def drop_table(self, name: str) -> None:
+        """Forgets the table, then deletes its files."""
         self.get(name)
         del self._tables[name]
         self.spark.catalog.dropTempView(name)
         self._save()
+        p, fs = self._file(name)
+        fs.delete(p, True)
 
     def get(self, name: str) -> TableDef:
         if name not in self._tables:
@@ -83,6 +91,10 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.get(name).schema).parquet(f"{self.path}/{name}")
 
+    def _file(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _write(self, name: str, df: DataFrame, mode: str) -> None:
         df.write.mode(mode).parquet(f"{self.path}/{name}")
         self._view(name)

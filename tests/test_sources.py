@@ -35,6 +35,12 @@ def test_catalog_round_trip(spark, tmp_path):
     assert tuple(row) == ("Eve", 1, datetime.date(2001, 1, 1))
     again.drop_table("people")
     assert Catalog.load(spark, str(tmp_path / "db")).names() == []
+    assert not (tmp_path / "db" / "people").exists()
+    again.create_table(DDL)  # a dropped name is free again, and empty
+    assert again.table("people").count() == 0
+    with pytest.raises(CatalogError):
+        Catalog.create(spark, str(tmp_path / "db"))
+    assert Catalog.load(spark, str(tmp_path / "db")).names() == ["people"]
 
 
 def test_csv_nulls_and_failures(spark, tmp_path):
@@ -47,5 +53,13 @@ def test_csv_nulls_and_failures(spark, tmp_path):
     with pytest.raises(Exception):
         import_csv(spark, schema, str(tmp_path / "b.csv"), delimiter="|").collect()
     strict = parse_create_table("CREATE TABLE t (a INT PRIMARY KEY, b TEXT NOT NULL)").schema
+    assert [r.b for r in import_csv(spark, strict, str(tmp_path / "a.csv"), delimiter="|").orderBy("a").collect()] == ["NULL", "null", "x"]
+    wide = parse_create_table("CREATE TABLE t (a INT PRIMARY KEY, b INT, c DATE, d FLOAT, e TEXT)").schema
+    (tmp_path / "c.csv").write_text("1,null,NULL,null,\n2,7,2001-02-03,1.5,NULL\n")
+    got = [tuple(r) for r in import_csv(spark, wide, str(tmp_path / "c.csv"), header=False).orderBy("a").collect()]
+    assert got == [(1, None, None, None, ""), (2, 7, datetime.date(2001, 2, 3), 1.5, None)]
+    (tmp_path / "d.csv").write_text("null,1,2001-01-01,1,x\n")
+    assert import_csv(spark, wide, str(tmp_path / "d.csv"), header=False).first().a is None
+    keyed = parse_create_table("CREATE TABLE t (a INT NOT NULL, b INT, c DATE, d FLOAT, e TEXT, PRIMARY KEY (a))").schema
     with pytest.raises(Exception):
-        import_csv(spark, strict, str(tmp_path / "a.csv"), delimiter="|").collect()
+        import_csv(spark, keyed, str(tmp_path / "d.csv"), header=False).collect()
