@@ -11,7 +11,8 @@ longest rule wins.
 The filter has a fixed upper size (``max_filter_bytes``), whatever the list:
 beyond it only more false positives reach the join.  The join leaves its
 strategy to Spark: a list under the broadcast threshold is sent to the tasks,
-a larger one is shuffled, with skewed keys split by AQE.
+a larger one is shuffled, with skewed keys split by AQE.  URLs without a
+possible hit are not shuffled; for that the two columns are read twice.
 
 Defined cases: a NULL url, or one without ``://``, has empty host and path and
 fits no rule; NULL rules are ignored; a key listed more than once blocks if
@@ -93,8 +94,11 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     lens = F.filter(F.array(*[F.lit(x) for x in facts["lens"]]), lambda x: x <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(lens, lambda x: F.concat(h, F.substring(F.col("path"), F.lit(1), x)))))
     possible = base.withColumn("keys", keys).withColumn("keys", F.filter("keys", lambda k: may_hold(F.col("blocks"), n_blocks, k)))
-    rows = possible.select("rid", "id", "host", "path", F.explode_outer("keys").alias("key"))
+    # only rows with a possible hit are joined and gathered again; all others are judged where they were read
+    some = F.size("keys") > 0
+    rows = possible.filter(some).select("rid", "id", "host", "path", F.explode("keys").alias("key"))
     hits = rows.join(listed, "key", "left")
     best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("len"), "host_len", "key", "verdict"))).alias("best")
-    out = hits.groupBy("rid", "id", "host", "path").agg(best)
-    return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = hits.groupBy("rid", "id", "host", "path").agg(best).select("id", "host", "path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("verdict"))
+    clear = possible.filter(~some).select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return clear.unionAll(judged).select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
