@@ -289,9 +289,12 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     near = near.unionByName(parts.select(*_ordered("prev", "g")))
     near = near.unionByName(chains.select(*_ordered("prev", "m"))).unionByName(chains.select(*_ordered("g", "m")))
     tried = materialize(near.filter("a <> b").distinct(), "pairs")
+    release(docs.sparkSession)
     possible = materialize(check.possible(tried), "possible")
+    release(docs.sparkSession)
     links = materialize(check.links(possible), "links")
     drop_scratch(possible, *check.held)
+    release(docs.sparkSession)
     labels = components(links)
     release(docs.sparkSession)
 
@@ -307,8 +310,10 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     other = lists.select("tok", "band", F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), (F.col("c") == F.col("main")).alias("in_main"))
     cross = few.join(other, (few["tok"] == other["tok"]) & (few["band"] == other["band"]) & (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("m1") < F.col("m2"))) & _can_link("n1", "pos1", "n2", "pos2", percent))
     cross = cross.select(*_ordered("m1", "m2")).distinct().join(tried, ["a", "b"], "left_anti")
+    drop_scratch(postings, hot)
+    release(docs.sparkSession)
     more = materialize(check.possible(cross), "possible")
-    drop_scratch(lists, postings, hot, tried)
+    drop_scratch(lists, tried)
     release(docs.sparkSession)
     if more.limit(1).count():
         found = materialize(check.links(more), "links")
@@ -329,6 +334,7 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
         out = out.join(ids, "k").join(ids.withColumnsRenamed({"k": "c", "id": "component_id"}), "c").select(F.col("id").alias(id_col), "n_shingles", "component_id")
     out = materialize(out, "components")
     drop_scratch(rows, classes, labels, base)
+    release(docs.sparkSession)
     return out
 
 
