@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import Places, bucketed, buckets, dealt, drop_scratch, id_of, keyed, materialize, scratch_dir
+from sparkloom.llm.common import Places, bucketed, buckets, dealt, drop_scratch, id_of, keyed, materialize, release, scratch_dir
 from sparkloom.llm.textops import BASES, Often, Words, anchors, batches, grams, mix, signed
 
 WINDOW, GRAM = 20, 8
@@ -268,6 +268,7 @@ class FingerprintIndex:
         lists = own.filter("hot IS NULL").join(shared, "part", "left_semi").select("k", F.col("part").alias("fp")).unionByName(own.filter("hot IS NOT NULL").select("k", F.col("hot").alias("fp")))
         lists = lists.groupBy("k").agg(F.collect_list("fp").alias("fps"))  # bounded by the document
         meta = materialize(lists.join(copies.withColumn("copy", F.lit(True)), "k", "full_outer"), "nominees")
+        release(self.spark)
         places = Places(base)
         windows = window_hashes(base.join(meta.filter("copy IS NULL"), "k"), self.window, self.gram).withColumn("new", places.code("k", "at"))
         firsts = windows.groupBy("h1", "h2").agg(F.min("new").alias("new"))
@@ -283,6 +284,7 @@ class FingerprintIndex:
         drop_scratch(keys)
         if compact:
             self.compact()
+        release(self.spark)
         return self.spark.read.parquet(f"{self.path}/result-{seq}")
 
     def _copies(self, base: DataFrame, seq: int, nb: int) -> tuple[DataFrame, DataFrame]:
