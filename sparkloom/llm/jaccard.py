@@ -341,9 +341,11 @@ def near_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
 def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``, the first in (id, text) order, with all its columns.
 
-    Documents with an empty set are kept.
+    Documents with an empty set are kept.  The keys of the rows that go are
+    broadcast to the rows if there are at most two million of them, so that no
+    text is shuffled; more of them are joined by a shuffle on the key.
     """
     base = keyed(docs.withColumn("_row", F.struct(*docs.columns)), id_col, text_col, "_row")
     found = near_components(base.select("k", "text"), n=n, percent=percent, id_col="k", text_col="text")
-    stay = found.filter("component_id = k OR n_shingles = 0").select("k")
-    return base.join(stay, "k", "left_semi").select("_row.*")
+    gone = found.filter("component_id <> k AND n_shingles > 0").select("k")
+    return base.join(bounded_broadcast(gone), "k", "left_anti").select("_row.*")

@@ -70,6 +70,21 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert jaccard.near_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_of_each_component_stays(spark, tmp_path, monkeypatch, broadcast):
+    """Keys of the rows that go are broadcast up to a bound; beyond it they are joined by a shuffle, with the same rows."""
+    spark.createDataFrame(corpus(5, 80), SCHEMA).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    known = {d: c for d, (_, c) in brute_components(docs.collect(), 5, 80).items()}
+    if not broadcast:
+        monkeypatch.setattr(jaccard, "bounded_broadcast", lambda df: df.hint("merge"))
+    kept = jaccard.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) is not broadcast
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in docs.collect() if known[r.doc_id] == r.doc_id)
+    assert len(set(known.values())) < len(known)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 999), (999, 998)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
